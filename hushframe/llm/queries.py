@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import backoff_lm, decontaminate, language_id, line_crf, mixing, passage_attention, shard_tree, simhash
+from hushframe.llm import backoff_lm, decontaminate, language_id, line_crf, mixing, passage_attention, shard_tree, simhash, warc
 from hushframe.llm.common import crc_mod, materialize, table
 
 
@@ -45,6 +45,11 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages"))).filter("gap is null")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -58,6 +63,7 @@ QUERIES = {
     "op5_line_crf": op5_line_crf,
     "op7_passage_attention": op7_passage_attention,
     "op8_systematic_mix": op8_systematic_mix,
+    "op9_warc_salvage": op9_warc_salvage,
     "op10_winnowing": op10_winnowing,
 }
 

@@ -56,7 +56,7 @@ def fingerprints(docs: list[bytes], width: int = SHINGLE) -> np.ndarray:
 
 def fingerprint_udf():
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([fingerprints(as_bytes(p)) for p in cut(texts, texts)] or [np.zeros(0, np.uint64)]).view(np.int64))
+        return pa.array(np.concatenate([fingerprints(as_bytes(p)) for p in cut(texts, texts, 1 << 18)] or [np.zeros(0, np.uint64)]).view(np.int64))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "long")
