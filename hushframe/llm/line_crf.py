@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.common import as_bytes, cut
 from hushframe.llm.numbering import hash48
-from hushframe.llm.text_stats import FEATURES, Stats
+from hushframe.llm.text_stats import FEATURES, SLICE, Stats
 
 PER_LABEL, MAX_LINES, SHARE = 400, 200, 0.5
 MIN_WORDS, MAX_REPEATED = 20, 30
@@ -103,7 +103,7 @@ def _lines(stats: Stats, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 def line_features(texts: pa.Array):
     """For each slice of texts: its Stats, for each document its lines' byte ranges, and the features of all lines."""
-    for part in cut(texts, texts):
+    for part in cut(texts, texts, SLICE):
         stats = Stats(as_bytes(part))
         lines = [_lines(stats, i) for i in range(len(part))]
         a, b = (np.concatenate([x[k] for x in lines]) for k in (0, 1))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.common import as_bytes, cut
 from hushframe.llm.line_crf import labelled_sample
-from hushframe.llm.text_stats import FEATURES, Stats
+from hushframe.llm.text_stats import FEATURES, SLICE, Stats
 
 WORDS, HIDDEN, GATES = 50, 12, 8
 PER_LABEL, MAX_PASSAGES = 600, 60
@@ -28,7 +28,7 @@ PER_LABEL, MAX_PASSAGES = 600, 60
 
 def passages(texts: pa.Array):
     """For each slice of texts: the features of all passages and where each text's begin."""
-    for part in cut(texts, texts):
+    for part in cut(texts, texts, SLICE):
         stats = Stats(as_bytes(part))
         n = np.maximum(1, -(-np.diff(stats.doc_words) // WORDS))
         first = np.concatenate([[0], np.cumsum(n)])
