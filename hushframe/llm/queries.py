@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import backoff_lm, decontaminate, language_id, line_crf, mixing, passage_attention, shard_tree, simhash, warc
+from hushframe.llm import backoff_lm, decontaminate, language_id, line_crf, mixing, passage_attention, shard_tree, simhash, suffix_dedup, warc
 from hushframe.llm.common import crc_mod, materialize, table
 
 
@@ -35,6 +35,11 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_content_words")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = passage_attention.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_shard_tree": op4_shard_tree,
     "op5_line_crf": op5_line_crf,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_passage_attention": op7_passage_attention,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_warc_salvage": op9_warc_salvage,
