@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import hashing as H
 from hushframe.params import Params
+from hushframe.storage import materialize
 
 ROWS = -1
 #: A key of its own for the bucket that collects suppressed ones.
@@ -59,6 +60,8 @@ class Prepared:
     keys: list[str] = field(default_factory=list)
     #: Keys of buckets that were merged into siblings.
     merged: DataFrame | None = None
+    #: The contributions of the rows, once they are a table.
+    long: DataFrame | None = None
 
     @property
     def is_global(self) -> bool:
@@ -331,18 +334,20 @@ def histogram(p: Prepared, i: int, agg: Agg, aids: list[bool]) -> DataFrame:
     return rows.groupBy(*p.keys).agg(pairs) if p.keys else rows.agg(pairs)
 
 
-def low_counts(p: Prepared, aids: list[bool]) -> DataFrame:
+def low_counts(long: DataFrame, keys: list[str], params: Params) -> DataFrame:
     """(keys, low) of all buckets."""
-    bare = p.changed(aggs={})
-    long = hashed(contributions(bare), aids)
-    stats = long.groupBy(*p.keys, "aid").agg(F.count("h").alias("n"), F.struct(F.coalesce(F.bit_xor("h.hi"), F.lit(0)).alias("hi"), F.coalesce(F.bit_xor("h.lo"), F.lit(0)).alias("lo")).alias("xor"))
-    verdict = F.bool_or(threshold(p.context.params, F.col("n"), F.col("xor"))).alias("low")
-    return stats.groupBy(*p.keys).agg(verdict) if p.keys else stats.agg(verdict)
+    stats = long.filter(F.col("leg") == ROWS).groupBy(*keys, "aid").agg(F.count("h").alias("n"), F.struct(F.coalesce(F.bit_xor("h.hi"), F.lit(0)).alias("hi"), F.coalesce(F.bit_xor("h.lo"), F.lit(0)).alias("lo")).alias("xor"))
+    verdict = F.bool_or(threshold(params, F.col("n"), F.col("xor"))).alias("low")
+    return stats.groupBy(*keys).agg(verdict) if keys else stats.agg(verdict)
 
 
-def aggregate(p: Prepared, aids: list[bool]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(buckets, flattened legs, hashed contributions)."""
-    long = hashed(contributions(p), aids).select(*p.keys, "aid", "leg", "amount", "h")
+def contributed(p: Prepared, aids: list[bool]) -> DataFrame:
+    return hashed(contributions(p), aids).select(*p.keys, "aid", "leg", "amount", "h")
+
+
+def aggregate(p: Prepared, aids: list[bool]) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """(columns of distinct counts and histograms, flattened legs, hashed contributions)."""
+    long = p.long if p.long is not None else contributed(p, aids)
     extra = None
     for kind, i, leg in _legs(p.aggs):
         more = None
@@ -355,7 +360,7 @@ def aggregate(p: Prepared, aids: list[bool]) -> tuple[DataFrame, DataFrame, Data
             extra = more if extra is None else join_keys(extra, more, p.keys, "full")
     params = p.context.params
     flat = flatten(_seeded(statistics(long, p.keys, params.outlier_count.upper + params.top_count.upper), p), params)
-    return combine(flat, p, p.is_global, extra), flat, long
+    return extra, flat, long
 
 
 def recover_outliers(buckets: DataFrame, flat: DataFrame, long: DataFrame, p: Prepared) -> DataFrame:
@@ -397,10 +402,18 @@ def anonymize(df: DataFrame, keys: dict[str, Column], aids: list[Aid], aggs: dic
     """(keys, low, aggregates and their ``__noise``): all buckets, with ``low`` for those that must not be shown."""
     p = prepare(df, keys, aids, aggs, context)
     kinds = [a.integer for a in aids]
+    recovers = bool(p.keys) and (context.params.recover_outliers if recover is None else recover)
+    # What several steps read becomes a table: entities per bucket first, then buckets, each smaller than the rows.
+    if p.keys and (hooks or recovers):
+        p = p.changed(long=materialize(contributed(p, kinds), "contributions"))
     for hook in hooks if p.keys else ():
         p = hook(p, kinds)
-    buckets, flat, long = aggregate(p, kinds)
-    if p.keys and (context.params.recover_outliers if recover is None else recover):
+    extra, flat, long = aggregate(p, kinds)
+    if not recovers:
+        buckets = combine(flat, p, p.is_global, extra)
+    else:
+        flat = materialize(flat, "flattened")
+        buckets = materialize(combine(flat, p, p.is_global, extra), "buckets")
         buckets = recover_outliers(buckets, flat, long, p)
     names = [*p.labels, "low", *(c for n in aggs for c in (n, f"{n}__noise"))]
     buckets = buckets.select(*(k for k in p.keys if k != STAR), "low", *names[len(p.labels) + 1 :])

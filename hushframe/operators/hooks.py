@@ -1,6 +1,6 @@
 """Steps between grouping and finalizing: merging suppressed buckets into a star bucket or into their only sibling.
 
-Each step relabels rows; the aggregation that follows runs once over all of them.
+Each step decides on a small table of buckets and relabels the contributions (and the rows, for distinct counts and histograms).
 """
 
 from __future__ import annotations
@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.operators.anonymize import STAR, Prepared, join_keys, low_counts
+from hushframe.storage import materialize
+
+
+def _moved(df: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows under the keys that ``moves`` gives for theirs."""
+    out = join_keys(df, moves, keys)
+    return out.select(*(F.col(f"to_{k}").alias(k) for k in keys), *(c for c in df.columns if c not in keys))
+
+
+def _summed(long: DataFrame, keys: list[str]) -> DataFrame:
+    return materialize(long.groupBy(*keys, "aid", "leg", "h").agg(F.sum("amount").alias("amount")), "merged")
 
 
 def led(p: Prepared, aids: list[bool]) -> Prepared:
@@ -20,7 +31,7 @@ def led(p: Prepared, aids: list[bool]) -> Prepared:
     if len(p.labels) < 3:
         return p
     keys = p.keys
-    buckets = low_counts(p, aids)
+    buckets = materialize(low_counts(p.long, keys, p.context.params), "buckets")
     for i, key in enumerate(keys):
         others = Window.partitionBy(*(k for k in keys if k != key))
         buckets = buckets.withColumns({f"n{i}": F.count(F.lit(1)).over(others), f"t{i}": F.max(F.when(~F.col("low"), F.struct(F.col(key).alias("to")))).over(others)})
@@ -30,26 +41,29 @@ def led(p: Prepared, aids: list[bool]) -> Prepared:
     )
     unknown = F.greatest(*((F.col(f"n{i}") == 1).cast("int") for i in range(len(keys)))) == 1
     victims = buckets.filter("low").filter(unknown).withColumn("targets", targets).filter(F.size("targets") > 0).select(*keys, "targets")
+    victims = materialize(victims, "victims")
     moves = victims.select(*keys, F.explode("targets").alias("t")).select(*keys, "t.*")
-    moved = join_keys(p.rows, moves, keys)
-    moved = moved.select(*(F.col(f"to_{k}").alias(k) for k in keys), *(c for c in p.rows.columns if c not in keys))
-    return p.changed(rows=p.rows.unionByName(moved), merged=victims.select(*keys))
+    long = _summed(p.long.unionByName(_moved(p.long, moves, keys)), keys)
+    return p.changed(rows=p.rows.unionByName(_moved(p.rows, moves, keys)), long=long, merged=victims.select(*keys))
 
 
 def star_bucket(p: Prepared, aids: list[bool]) -> Prepared:
     """All suppressed buckets as one with `*` (text) or NULL labels, if it can be shown itself and holds two or more."""
     keys = p.keys
-    low = low_counts(p, aids).filter("low").drop("low")
+    low = low_counts(p.long, keys, p.context.params).filter("low").drop("low")
     if p.merged is not None:
-        low = join_keys(low, p.merged.distinct(), keys, "left_anti")
+        low = join_keys(low, p.merged, keys, "left_anti")
     kinds = dict(p.rows.dtypes)
-    labels = [(F.lit("*") if kinds[k] == "string" else F.lit(None).cast(kinds[k])).alias(k) for k in keys]
-    rest = [c for c in p.rows.columns if c not in keys]
-    star = join_keys(p.rows, low, keys).select(*labels, *rest)
-    shown = low_counts(p.changed(rows=star, keys=keys), aids).select(F.col("low").alias("star_low")).crossJoin(low.agg((F.count(F.lit(1)) >= 2).alias("enough")))
-    star = star.crossJoin(F.broadcast(shown)).filter(F.col("enough") & ~F.col("star_low")).select(*keys, *rest)
-    rows = p.rows.withColumn(STAR, F.lit(False)).unionByName(star.withColumn(STAR, F.lit(True)))
-    return p.changed(rows=rows, keys=[*keys, STAR])
+    labels = [(F.lit("*") if kinds[k] == "string" else F.lit(None).cast(kinds[k])).alias(f"to_{k}") for k in keys]
+    moves = materialize(low.select(*keys, *labels), "suppressed")
+    star = _summed(_moved(p.long, moves, keys), keys)
+    shown = low_counts(star, keys, p.context.params).select((~F.col("low")).alias("shown")).crossJoin(moves.agg((F.count(F.lit(1)) >= 2).alias("enough")))
+    shown = shown.filter("shown and enough").count() == 1
+    rows, long = p.rows.withColumn(STAR, F.lit(False)), p.long.withColumn(STAR, F.lit(False))
+    if shown:
+        rows = rows.unionByName(_moved(p.rows, moves, keys).withColumn(STAR, F.lit(True)))
+        long = long.unionByName(star.withColumn(STAR, F.lit(True)))
+    return p.changed(rows=rows, long=long, keys=[*keys, STAR])
 
 
 DEFAULT = (led, star_bucket)
