@@ -1,0 +1,3 @@
+"""Anonymizing analytics over Spark DataFrames."""
+
+__version__ = "0.1.0"
