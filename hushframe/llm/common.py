@@ -2,45 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.storage import materialize, new_path, shared_dir
+
+__all__ = ["as_bytes", "crc_mod", "cut", "interned", "materialize", "mix64", "new_path", "pack", "shared_dir", "table", "unpack"]
+
 #: Text handled by Python at once inside a worker, in bytes.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hushframe-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def pack(docs: DataFrame, **named) -> DataFrame:
+    """The whole row in a struct ``doc`` beside the columns ``named``, so that no name of the input can clash with them."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(c.alias(n) for n, c in named.items()))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder, which outlives any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def unpack(packed: DataFrame, *results: str) -> DataFrame:
+    """The input's columns and then ``results``; an input column with the name of a result gives way to it."""
+    taken = {r.lower() for r in results}
+    return packed.select(*(F.col(f"doc.`{c}`").alias(c) for c in packed.schema["doc"].dataType.names if c.lower() not in taken), *results)
 
 
 def crc_mod(column: str, n: int):
@@ -48,12 +36,6 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sliced(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches to about ``limit`` bytes of text, so that what Python holds is bounded by that and the longest text."""
-    for batch in batches:
-        yield from cut(batch, batch.column(batch.schema.get_field_index(column)), limit)
-
-
 def cut(batch, texts, limit: int = SLICE_BYTES):
     """Slices of ``batch`` (or of an array) of about ``limit`` bytes of ``texts``."""
     n = len(texts)
@@ -105,8 +87,3 @@ def interned(docs: list[list[bytes]], digest) -> tuple[np.ndarray, np.ndarray, I
     np.cumsum([len(d) for d in docs], out=starts[1:])
     ids = np.fromiter((i for d in docs for i in names(d)), np.int64, int(starts[-1]))
     return ids, starts, names
-
-
-def lower_ascii(column):
-    """Lower-cases A-Z alone."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

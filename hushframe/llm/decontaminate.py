@@ -122,18 +122,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, id_
     items: the sorted ids with occurring windows; spans: the windows found, as (start, length) in words.
     """
     windows = materialize(item_windows(benchmark), "windows")
-    scanned = docs.select(F.col(id_col).alias("doc_id"), *carry, candidates(windows)(F.col(text_col)).alias("r")).select(F.monotonically_increasing_id().alias("row"), "doc_id", *carry, "r.*")
+    scanned = docs.select(F.col(id_col).alias("doc_id"), *carry, candidates(windows)(F.col(text_col)).alias("r")).select(F.monotonically_increasing_id().alias("__row"), "doc_id", *carry, "r.*")
     scanned = materialize(scanned, "scanned")
-    cands = scanned.filter(F.size("cands") > 0).select("row", F.explode("cands").alias("c")).select("row", "c.*")
-    hits = cands.join(windows, ["length", "fp", "h1", "h2"]).select("row", "start", "length", "item_id")
+    cands = scanned.filter(F.size("cands") > 0).select("__row", F.explode("cands").alias("c")).select("__row", "c.*")
+    hits = cands.join(windows, ["length", "fp", "h1", "h2"]).select("__row", "start", "length", "item_id")
     end = F.col("start") + F.col("length")
-    before = F.max(end).over(Window.partitionBy("row").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1))
-    spans = hits.select("row", "start", "length").distinct().withColumn("new", F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(before, F.lit(0)))))
-    spans = spans.groupBy("row").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
-    items = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    before = F.max(end).over(Window.partitionBy("__row").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select("__row", "start", "length").distinct().withColumn("new", F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(before, F.lit(0)))))
+    spans = spans.groupBy("__row").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    items = hits.groupBy("__row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     empty = F.array().cast("array<string>")
     return (
-        scanned.drop("cands").join(spans, "row", "left").join(items, "row", "left")
+        scanned.drop("cands").join(spans, "__row", "left").join(items, "__row", "left")
         .select("doc_id", *carry, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", empty).alias("items"), "spans")
         .withColumn("contaminated", F.size("items") >= min_items)
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import as_bytes, cut
+from hushframe.llm.common import as_bytes, cut, pack
 from hushframe.llm.numbering import hash48
 from hushframe.llm.text_stats import FEATURES, SLICE, Stats
 
@@ -172,6 +172,7 @@ def label(crf: Crf, share: float = SHARE):
     return F.arrow_udf(run, "struct<" + ",".join(f"{n}:bigint" for n in names) + ",line_labels:string,base_failed:boolean,kept:boolean>")
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "quality") -> DataFrame:
-    """``docs`` with a struct column of the counts, the lines' labels and the verdict."""
-    return docs.withColumn(into, label(fit(docs, labels, id_col=id_col, text_col=text_col))(F.col(text_col)))
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, quality): each whole row in a struct, and a struct of the counts, the lines' labels and the verdict."""
+    verdict = label(fit(docs, labels, id_col=id_col, text_col=text_col))
+    return pack(docs, quality=verdict(F.col(text_col)))

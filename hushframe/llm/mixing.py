@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushframe.llm.common import pack, unpack
 from hushframe.llm.numbering import hash48, number_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -40,24 +41,24 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("final") * F.col("w")).alias("target"))
 
 
-def with_size(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumn("size", n_words(F.col(text_col)))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc, id, source, size): each whole row in a struct."""
+    return pack(docs, id=F.col(id_col), source=F.col(source_col), size=n_words(F.col(text_col)))
 
 
-def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """All columns of ``sized`` (documents with their size) with source_size, target, copies and taken."""
-    aims = targets(sized.select(F.col(source_col).alias("source"), "size"), weights, most)
-    aims = aims.select(F.col("source").alias("__source"), "source_size", "target")
+def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+    """``rows`` (of ``sized``) with source_size, target, copies and taken."""
+    aims = targets(rows.select("source", "size"), weights, most).withColumnRenamed("source", "of")
     digits = F.pow(F.lit(10), F.greatest(F.length(F.col("size").cast("string")) - 2, F.lit(0))).cast("long")
     coarse = F.col("size") - F.col("size") % digits
-    rows = number_rows(sized, F.col(source_col), coarse, hash48(SEED, F.col(id_col)) % CELLS, [F.col("size"), F.col(id_col)], "index")
-    rows = rows.join(aims, F.col(source_col).eqNullSafe(F.col("__source"))).drop("__source")
+    out = number_rows(rows, F.col("source"), coarse, hash48(SEED, F.col("id")) % CELLS, [F.col("size"), F.col("id")], "index")
+    out = out.join(aims, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = (hash48(SEED, F.lit("offset"), F.col(source_col)) % (1 << 32)).cast("double") / F.lit(float(1 << 32))
+    offset = (hash48(SEED, F.lit("offset"), F.col("source")) % (1 << 32)).cast("double") / F.lit(float(1 << 32))
     crossed = F.floor((F.col("index") + 1) * each + offset) - F.floor(F.col("index") * each + offset)
-    return rows.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("index")
+    return out.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("index")
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of the mix, each as often as it has copies."""
-    return mixed.filter("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+def emit(mixed: DataFrame) -> DataFrame:
+    """The documents of the mix, each as often as it has copies."""
+    return unpack(mixed.filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")))

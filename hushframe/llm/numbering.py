@@ -19,9 +19,6 @@ def number_rows(df: DataFrame, group: Column, coarse: Column, fine: Column, orde
     that holds most rows is still dealt over as many tasks as it has cells. Null is a group of its own.
     """
     keys = ["__group", "__coarse", "__fine"]
-    clash = {c for c in df.columns if c.startswith("__")}
-    if clash:
-        raise ValueError(f"columns may not begin with two underscores: {sorted(clash)}")
     cells = df.withColumns({"__group": F.when(group.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), group.cast("string"))), "__coarse": coarse, "__fine": fine})
     counts = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     lines = counts.groupBy("__group", "__coarse").agg(F.sum("__n").alias("__m"))

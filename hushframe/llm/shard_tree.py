@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.llm.common import pack, unpack
 from hushframe.llm.numbering import hash48, number_rows
 
 SEED = "tree"
@@ -69,9 +70,10 @@ def assign(df: DataFrame, key: Column, trees: dict[str, list[Leaf]]) -> DataFram
 
 
 def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with size, text_crc32, shard, grown_shard (with one more shard) and slot."""
+    """All columns of ``docs`` with size, text_crc32, shard, grown_shard (with one more shard) and slot, which replace columns of these names."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    out = docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text)})
-    out = assign(out, F.col(id_col), {"shard": topology(shards), "grown_shard": topology(shards + 1)})
-    cell = hash48("slot", F.col(id_col))
-    return number_rows(out, F.col("shard"), cell % CELLS, F.floor(cell / CELLS) % CELLS, [F.col(id_col), F.col("text_crc32")], "slot")
+    rows = pack(docs, id=F.col(id_col), size=(F.octet_length(text) + 1).cast("long"), text_crc32=F.crc32(text))
+    rows = assign(rows, F.col("id"), {"shard": topology(shards), "grown_shard": topology(shards + 1)})
+    cell = hash48("slot", F.col("id"))
+    rows = number_rows(rows, F.col("shard"), cell % CELLS, F.floor(cell / CELLS) % CELLS, [F.col("id"), F.col("text_crc32")], "slot")
+    return unpack(rows, "size", "text_crc32", "shard", "grown_shard", "slot")
