@@ -190,7 +190,8 @@ def _scored(order: int, mu: float, tokens: int, types: int, out: pa.Schema):
         by = {}
         for n, bucket, data in zip(told.column("n").to_pylist(), told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True):
             by[n, bucket] = unpack_counts(data)
-        counts = {n: np.concatenate([by[k] for k in sorted(by) if k[0] == n]) for n in range(1, order + 1)}
+        # A zero at the end, for the place -1 of what is no n-gram.
+        counts = {n: np.concatenate([*(by[k] for k in sorted(by) if k[0] == n), np.zeros(1, np.int64)]) for n in range(1, order + 1)}
         score = Automaton(chunk, counts, tokens, types, mu).read(chunk.begin)
         c = counts[1][chunk.at[1]]
         base = np.log10((c + 1) / (tokens + types + 1))

@@ -3,7 +3,8 @@
 A source's target is its share of all words by weight, at most ``most`` times its own words; what is above goes to the
 others by weight. Each document of a source expects target / source_size copies. Expected copies are prefix-summed within
 the source, one offset drawn for the source is added, and a document is emitted once per integer boundary that its
-interval crosses. Documents stand in order of size (two leading digits), then by a hash, so the words taken come near the target.
+interval crosses. Documents stand by falling size (two leading digits), then by a hash: the words taken miss the target by about a large document's
+size at most, whatever the number of documents.
 
 Null texts have size 0 and are sampled too; a null source is the last source; a source without words has target 0 and
 its documents are not taken; equal rows are documents of their own; an empty table gives no rows.
@@ -50,8 +51,8 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3) ->
     """``rows`` (of ``sized``) with source_size, target, copies and taken."""
     aims = targets(rows.select("source", "size"), weights, most).withColumnRenamed("source", "of")
     digits = F.pow(F.lit(10), F.greatest(F.length(F.col("size").cast("string")) - 2, F.lit(0))).cast("long")
-    coarse = F.col("size") - F.col("size") % digits
-    out = number_rows(rows, F.col("source"), coarse, hash48(SEED, F.col("id")) % CELLS, [F.col("size"), F.col("id")], "index")
+    coarse = F.col("size") % digits - F.col("size")
+    out = number_rows(rows, F.col("source"), coarse, hash48(SEED, F.col("id")) % CELLS, [F.col("size").desc(), F.col("id")], "index")
     out = out.join(aims, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = (hash48(SEED, F.lit("offset"), F.col("source")) % (1 << 32)).cast("double") / F.lit(float(1 << 32))

@@ -96,8 +96,8 @@ SELECT doc_id, octet_length(b) + 1 AS size, xor(list_reduce(list_prepend(4294967
 s AS (SELECT source, sum(size)::BIGINT AS source_size, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)) AS w FROM d GROUP BY source),
 o AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM s),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), max(CAST(rest AS DOUBLE) / free) OVER () * w) AS target FROM o),
-c AS (SELECT *, size - size % CAST(pow(10, greatest(length(CAST(size AS VARCHAR)) - 2, 0)) AS BIGINT) AS coarse, {_H48.format(f"concat('{mixing.SEED}:', {_ID})")} % {mixing.CELLS} AS fine FROM d),
-i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY coarse, fine, size, doc_id) - 1 AS i FROM c),
+c AS (SELECT *, size % CAST(pow(10, greatest(length(CAST(size AS VARCHAR)) - 2, 0)) AS BIGINT) - size AS coarse, {_H48.format(f"concat('{mixing.SEED}:', {_ID})")} % {mixing.CELLS} AS fine FROM d),
+i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY coarse, fine, size DESC, doc_id) - 1 AS i FROM c),
 j AS (SELECT i.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e, CAST({_H48.format(f"concat('{mixing.SEED}:offset:', coalesce(i.source, ''))")} % {1 << 32} AS DOUBLE) / CAST({1 << 32} AS DOUBLE) AS u FROM i JOIN t ON i.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(floor((i + 1) * e + u) - floor(i * e + u) AS BIGINT) * size AS taken FROM j""",
     "op9_warc_salvage": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS h FROM pages),
