@@ -5,8 +5,8 @@ byte it covers goes. Strings are judged on the input.
 
 Windows of ``length`` bytes that are equal have the same least hash of their ``GRAM``-byte grams. Consecutive windows with the same
 least hash are one context; contexts are dealt by that hash. Equal contexts are told apart by their place alone. Of the others, one
-copy each is fetched, the contexts of a hash are joined and suffix-sorted (``gsaca``), and windows that stand together in suffix order and are
-equal byte by byte are repeats of the earliest. So only text around the ends of repeats is ever sorted, in bounded pieces.
+copy each is fetched and cut to the stretches in which every gram recurs; the stretches of a hash are joined and suffix-sorted (``gsaca``), and
+windows that stand together in suffix order and are equal byte by byte are repeats of the earliest. So only text around the ends of repeats is ever sorted, in bounded pieces.
 
 Rows: one per document row. Null is an empty text. A null doc_id comes after all others; rows that repeat a doc_id stand in order of a hash
 of their text, and rows that repeat doc_id and text are one document with one result. Texts of any length are read whole.
@@ -225,39 +225,78 @@ def _window_hashes(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 _COVER = pa.schema([("chunk", pa.int64()), ("wanted", pa.bool_()), ("data", pa.binary())])
 
 
-def _sort(length: int, chunks: int):
+def _recurring(parts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, start, end) of the stretches whose windows hold no gram that the parts have only once. No other window can be repeated."""
+    sizes = np.array(list(map(len, parts)), np.int64)
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    first = np.cumsum(sizes) - sizes
+    g = grams(raw, gram)
+    left = np.repeat(sizes, sizes) - (np.arange(len(raw)) - first[owner])
+    whole = left[: len(g)] >= gram
+    order = np.argsort(g, kind="stable")
+    order = order[whole[order]]
+    same = g[order[1:]] == g[order[:-1]]
+    again = np.zeros(len(raw) + 1, np.int64)
+    again[order[1:][same]] = again[order[:-1][same]] = 1
+    sums = np.concatenate([[0], np.cumsum(again)])
+    width = length - gram + 1
+    starts = np.flatnonzero(left >= length)
+    starts = starts[sums[starts + width] - sums[starts] == width]
+    if not len(starts):
+        return starts, starts, starts
+    new = np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(owner[starts]) != 0)])
+    a, b = starts[new], starts[np.concatenate([np.flatnonzero(new)[1:], [len(starts)]]) - 1]
+    return owner[a], a - first[owner[a]], b - first[owner[a]] + length
+
+
+def _sort(length: int, gram: int, chunks: int):
     """Suffix-sorts the contexts of a bucket, hash by hash; the repeated windows as covered ranges."""
 
     def run(table: pa.Table) -> pa.Table:
         m, key, lo = (np.asarray(table.column(k).combine_chunks()) for k in ("m", "key", "lo"))
         data = table.column("bytes").to_pylist()
-        order = np.argsort(m, kind="stable").tolist()
-        found: list[tuple[int, int]] = []
+        part, a, b = _recurring(data, length, gram)
+        m, key, lo = m[part], key[part], lo[part] + a
+        data = [data[i][x:y] for i, x, y in zip(part.tolist(), a.tolist(), b.tolist(), strict=True)]
+        # Equal stretches in order of their place: all but the first are copies.
+        order = np.lexsort((lo, key, m)).tolist()
+        covers: list[tuple[int, int, int]] = []
+        seen: set[tuple[int, bytes]] = set()
+        distinct = []
+        for i in order:
+            if (m[i], data[i]) in seen:
+                covers.append((i, 0, len(data[i])))
+            else:
+                seen.add((m[i], data[i]))
+                distinct.append(i)
         start = 0
-        while start < len(order):
+        while start < len(distinct):
             size, stop = 0, start
-            while stop < len(order):
+            while stop < len(distinct):
                 end, more = stop, 0
-                while end < len(order) and m[order[end]] == m[order[stop]]:
-                    more += len(data[order[end]]) + 1
+                while end < len(distinct) and m[distinct[end]] == m[distinct[stop]]:
+                    more += len(data[distinct[end]]) + 1
                     end += 1
                 if size and size + more > SORTED:
                     break
                 size, stop = size + more, end
-            own = order[start:stop]
-            found += [(own[i], at) for i, at in repeated_windows([data[i] for i in own], key[own], lo[own], length)]
+            own = distinct[start:stop]
+            found = sorted(repeated_windows([data[i] for i in own], key[own], lo[own], length))
+            # Consecutive windows of a stretch cover one range.
+            at = 0
+            while at < len(found):
+                end = at
+                while end + 1 < len(found) and found[end + 1] == (found[at][0], found[end][1] + 1):
+                    end += 1
+                covers.append((own[found[at][0]], found[at][1], found[end][1] + length))
+                at = end + 1
             start = stop
-        rows = np.zeros(len(found), _ANCHOR)
-        if not found:
+        if not covers:
             return _COVER.empty_table()
-        who, at = (np.array(x) for x in zip(*found, strict=True))
-        by = np.lexsort((at, who))
-        who, at = who[by], at[by]
-        # Consecutive windows of a context cover one range.
-        new = np.concatenate([[True], (who[1:] != who[:-1]) | (at[1:] != at[:-1] + 1)])
-        a, b = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:], [len(who)]]) - 1
-        rows = np.zeros(len(a), _ANCHOR)
-        rows["key"], rows["lo"], rows["size"] = key[who[a]], lo[who[a]] + at[a], at[b] - at[a] + length
+        who, x, y = (np.array(c) for c in zip(*covers, strict=True))
+        rows = np.zeros(len(who), _ANCHOR)
+        rows["key"], rows["lo"], rows["size"] = key[who], lo[who] + x, y - x
         chunk = rows["key"] % chunks
         by = np.argsort(chunk, kind="stable")
         rows, chunk = rows[by], chunk[by]
@@ -325,7 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     judged = materialize(found.groupBy("bucket").applyInArrow(_judge(chunks), "chunk long, wanted boolean, data binary"), "judged")
     dealt = rows.select(F.pmod(F.col("key"), F.lit(chunks)).alias("chunk"), "key", "doc_id", "text")
     taken = dealt.groupBy("chunk").cogroup(judged.filter("wanted").groupBy("chunk")).applyInArrow(_fetch(chunks), "bucket long, m long, key long, lo long, bytes binary")
-    sorted_ = taken.groupBy("bucket").applyInArrow(_sort(length, chunks), "chunk long, wanted boolean, data binary")
+    sorted_ = taken.groupBy("bucket").applyInArrow(_sort(length, gram, chunks), "chunk long, wanted boolean, data binary")
     covers = judged.filter("not wanted").unionByName(sorted_)
     kind = docs.schema[id_col].dataType
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
