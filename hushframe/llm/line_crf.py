@@ -58,36 +58,42 @@ def train(chains: list[np.ndarray], labels: list[int], rounds: int = 250, rate:
     if len(set(labels)) < 2:
         crf.unary[0] = 1.0
         return crf
-    longest = max(len(c) for c in chains)
-    x = np.zeros((len(chains), longest, width))
-    live = np.zeros((len(chains), longest), bool)
-    for i, c in enumerate(chains):
-        x[i, : len(c)], live[i, : len(c)] = c, True
-    y = np.array(labels)
+    # Longest chains first, so that those still running at step j are the first ``alive[j]`` ones.
+    by_length = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
+    x = np.concatenate([chains[i] for i in by_length]).astype(np.float64)
+    y = np.array(labels)[by_length]
+    sizes = np.array([len(chains[i]) for i in by_length])
+    start = np.cumsum(sizes) - sizes
+    chain = np.repeat(np.arange(len(sizes)), sizes)
+    step = np.arange(len(x)) - start[chain]
+    alive = np.bincount(step)
     # Both labels weigh the same, and so do the documents of a label.
-    weight = live / live.sum(1, keepdims=True) / np.bincount(y, minlength=2)[y][:, None] / 2
-    scale = 1 / live.sum(1) / np.bincount(y, minlength=2)[y] / 2
+    scale = 0.5 / sizes / np.bincount(y, minlength=2)[y]
     params, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for t in range(1, rounds + 1):
         unary, moves = params[:width], params[width:].reshape(2, 2)
-        emit = np.stack([np.zeros(live.shape), x @ unary], axis=2)
-        alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0]
-        for j in range(1, longest):
-            step = np.logaddexp(alpha[:, j - 1, 0, None] + moves[0], alpha[:, j - 1, 1, None] + moves[1]) + emit[:, j]
-            alpha[:, j] = np.where(live[:, j, None], step, alpha[:, j - 1])
-        for j in range(longest - 2, -1, -1):
-            ahead = emit[:, j + 1] + beta[:, j + 1]
-            step = np.logaddexp(moves[:, 0] + ahead[:, 0, None], moves[:, 1] + ahead[:, 1, None])
-            beta[:, j] = np.where(live[:, j + 1, None], step, 0)
-        total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        one = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None])
+        gain = x @ unary
+        emit, alpha, beta = (np.zeros((len(alive), len(sizes), 2)) for _ in range(3))
+        emit[step, chain, 1] = gain
+        alpha[0] = emit[0]
+        for j in range(1, len(alive)):
+            k = alive[j]
+            before = alpha[j - 1, :k]
+            alpha[j, :k] = np.logaddexp(before[:, :1] + moves[0], before[:, 1:] + moves[1]) + emit[j, :k]
+        for j in range(len(alive) - 2, -1, -1):
+            k = alive[j + 1]
+            ahead = emit[j + 1, :k] + beta[j + 1, :k]
+            beta[j, :k] = np.logaddexp(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
+        total = np.logaddexp(*alpha[sizes - 1, np.arange(len(sizes))].T)
+        one = np.exp(alpha[step, chain, 1] + beta[step, chain, 1] - total[chain])
         grad = np.zeros(width + 4)
-        grad[:width] = np.einsum("ij,ijk->k", (y[:, None] - one) * weight, x)
-        pair = np.exp(alpha[:, :-1, :, None] + moves + (emit + beta)[:, 1:, None, :] - total[:, None, None, None]) * live[:, 1:, None, None]
-        seen = np.zeros((len(y), 2, 2))
-        seen[np.arange(len(y)), y, y] = live[:, 1:].sum(1)
-        grad[width:] = np.einsum("i,iab->ab", scale, seen - pair.sum(1)).ravel()
+        grad[:width] = ((y[chain] - one) * scale[chain]) @ x
+        at, who = step[step > 0], chain[step > 0]
+        pair = np.exp(alpha[at - 1, who][:, :, None] + moves + (emit + beta)[at, who][:, None, :] - total[who, None, None])
+        expected = np.einsum("i,iab->ab", scale[who], pair)
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (y, y), scale * (sizes - 1))
+        grad[width:] = (seen - expected).ravel()
         grad -= l2 * params
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

@@ -74,28 +74,27 @@ def train(bags: list[np.ndarray], labels: list[int], rounds: int = 400, rate: fl
             q[:] = 0
         p[-1][:] = (40 if labels[0] else -40) if labels else 0
         return Attention(*p[:-1], float(p[-1][0]))
-    longest = max(len(b) for b in bags)
-    x, live = np.zeros((len(bags), longest, width)), np.zeros((len(bags), longest), bool)
-    for i, b in enumerate(bags):
-        x[i, : len(b)], live[i, : len(b)] = b, True
-    y = np.array(labels)
+    x, y = np.concatenate(bags).astype(np.float64), np.array(labels)
+    first = np.cumsum([0, *map(len, bags)])[:-1]
+    doc = np.repeat(np.arange(len(bags)), list(map(len, bags)))
+    summed = lambda a: np.add.reduceat(a, first)
     weight = 0.5 / np.bincount(y, minlength=2)[y]
     m, v = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
     for t in range(1, rounds + 1):
         encode, to_tanh, to_gate, weigh, out, bias = p
         h = np.tanh(x @ encode)
         a, g = np.tanh(h @ to_tanh), _sigmoid(h @ to_gate)
-        e = np.where(live, (a * g) @ weigh, -np.inf)
-        s = np.exp(e - e.max(1, keepdims=True))
-        s /= s.sum(1, keepdims=True)
-        z = np.einsum("ij,ijk->ik", s, h)
+        e = (a * g) @ weigh
+        s = np.exp(e - np.maximum.reduceat(e, first)[doc])
+        s /= summed(s)[doc]
+        z = summed(s[:, None] * h)
         d = (_sigmoid(z @ out + bias[0]) - y) * weight
-        dz = d[:, None] * out
-        ds = np.einsum("ik,ijk->ij", dz, h)
-        de = s * (ds - (s * ds).sum(1, keepdims=True))
-        da, dg = de[..., None] * weigh * g * (1 - a**2), de[..., None] * weigh * a * g * (1 - g)
-        dh = s[..., None] * dz[:, None] + da @ to_tanh.T + dg @ to_gate.T
-        grads = [np.einsum("ijk,ijl->kl", x, dh * (1 - h**2)), np.einsum("ijk,ijl->kl", h, da), np.einsum("ijk,ijl->kl", h, dg), np.einsum("ij,ijk->k", de, a * g), z.T @ d, np.array([d.sum()])]
+        dz = (d[:, None] * out)[doc]
+        ds = (dz * h).sum(1)
+        de = s * (ds - summed(s * ds)[doc])
+        da, dg = de[:, None] * weigh * g * (1 - a**2), de[:, None] * weigh * a * g * (1 - g)
+        dh = s[:, None] * dz + da @ to_tanh.T + dg @ to_gate.T
+        grads = [x.T @ (dh * (1 - h**2)), h.T @ da, h.T @ dg, de @ (a * g), z.T @ d, np.array([d.sum()])]
         for i, grad in enumerate(grads):
             grad = grad + l2 * p[i]
             m[i], v[i] = 0.9 * m[i] + 0.1 * grad, 0.999 * v[i] + 0.001 * grad**2
