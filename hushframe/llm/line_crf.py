@@ -24,6 +24,8 @@ from hushframe.llm.numbering import hash48
 from hushframe.llm.text_stats import FEATURES, SLICE, Stats
 
 PER_LABEL, MAX_LINES, SHARE = 400, 200, 0.5
+#: What part of the likelihood good documents have; to reject one of them is worse than to keep a bad one.
+GOOD = 0.85
 MIN_WORDS, MAX_REPEATED = 20, 30
 
 
@@ -67,8 +69,8 @@ def train(chains: list[np.ndarray], labels: list[int], rounds: int = 250, rate:
     chain = np.repeat(np.arange(len(sizes)), sizes)
     step = np.arange(len(x)) - start[chain]
     alive = np.bincount(step)
-    # Both labels weigh the same, and so do the documents of a label.
-    scale = 0.5 / sizes / np.bincount(y, minlength=2)[y]
+    # The documents of a label weigh the same, however long they are.
+    scale = np.array([1 - GOOD, GOOD])[y] / sizes / np.bincount(y, minlength=2)[y]
     params, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for t in range(1, rounds + 1):
         unary, moves = params[:width], params[width:].reshape(2, 2)
