@@ -11,7 +11,7 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Bytes of text that are held as Stats at once; each takes about a hundred times as much.
-SLICE = 1 << 18
+SLICE = 1 << 17
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,6 +33,13 @@ _CLASSES = {
 FEATURES = ("bias", "symbols", "upper", "digits", "stops", "marks", "pipes", "short", "long", "repeated", "again", "few_words", "one_word")
 
 
+def _sums(flags: np.ndarray) -> np.ndarray:
+    """How many hold before each place."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 class Stats:
     """Of documents given as UTF-8 bytes; documents are held apart by a line feed."""
 
@@ -49,14 +56,14 @@ class Stats:
         ids = names(self.data.split())
         self.ids = np.fromiter(ids, np.int64, len(ids))
         self.doc_of_word = np.repeat(np.arange(len(docs)), np.diff(self.doc_words))
-        self._cum = {k: np.concatenate([[0], np.cumsum(v[raw], dtype=np.int32)]) for k, v in _CLASSES.items()}
+        self._cum = {k: _sums(v[raw]) for k, v in _CLASSES.items()}
         order = np.lexsort((np.arange(len(self.ids)), self.ids, self.doc_of_word))
         same = (self.ids[order][1:] == self.ids[order][:-1]) & (self.doc_of_word[order][1:] == self.doc_of_word[order][:-1])
         #: The word's last place before in the same document, or -1.
         self.previous = np.full(len(self.ids), -1, np.int64)
         self.previous[order[1:][same]] = order[:-1][same]
         self.repeated = self._repeated(mix64(names.hashes())[self.ids] if len(self.ids) else np.zeros(0, np.uint64))
-        self._cum_repeated = np.concatenate([[0], np.cumsum(self.repeated)])
+        self._cum_repeated = _sums(self.repeated)
 
     def _repeated(self, h: np.ndarray) -> np.ndarray:
         """Whether a word lies in a window of WINDOW words that its document has twice or more."""
@@ -80,11 +87,11 @@ class Stats:
 
     def count(self, what: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of bytes of class ``what`` from a to b."""
-        return self._cum[what][b] - self._cum[what][a]
+        return (self._cum[what][b] - self._cum[what][a]).astype(np.int64)
 
     def n_repeated(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Words from a to b in repeated windows."""
-        return self._cum_repeated[b] - self._cum_repeated[a]
+        return (self._cum_repeated[b] - self._cum_repeated[a]).astype(np.int64)
 
     def features(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of the byte ranges a to b, which stand in order without overlap: a row of FEATURES, each from 0 to 1."""
