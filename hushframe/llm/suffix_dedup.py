@@ -31,7 +31,9 @@ _TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 _POWER = 0xD1342543DE82EF95
 _INVERSE = pow(_POWER, -1, 1 << 64)
-_FOUND = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
+#: So many chunks' anchors meet in one task at most; with more, those of a hash are first sifted part by part.
+MEETING = 256
+_FOUND = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
 _ANCHOR = np.dtype([("m", "<u8"), ("c", "<u8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<u4"), ("inner", "?")])
 
 
@@ -112,8 +114,8 @@ def _unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def _scan(length: int, gram: int, buckets: int):
-    """Anchors of the documents, packed by hash."""
+def _scan(length: int, gram: int, buckets: int, parts: int):
+    """Anchors of the documents, packed by hash; a part is a share of the documents."""
 
     def run(batches):
         for batch in batches:
@@ -130,7 +132,43 @@ def _scan(length: int, gram: int, buckets: int):
                     bucket = (rows["m"] % np.uint64(buckets)).astype(np.int64)
                     rows, bucket = rows[(order := np.argsort(bucket, kind="stable"))], bucket[order]
                     edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(rows)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a in edges[:-1]], pa.int64()), pa.array([_pack(rows[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], schema=_FOUND)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a in edges[:-1]], pa.int64()), pa.array([int(rows["key"][0]) % parts] * (len(edges) - 1), pa.int64()), pa.array([_pack(rows[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], schema=_FOUND)
+
+    return run
+
+
+_SIFTED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("wanted", pa.bool_()), ("data", pa.binary())])
+
+
+def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors by hash, context and place; where a hash and where a context begins; and which anchors are the first of their context."""
+    rows = np.concatenate([_unpack(x) for x in table.column("data").to_pylist()])
+    rows = rows[np.lexsort((rows["lo"], rows["key"], rows["c"], rows["m"]))]
+    new_group = np.concatenate([[True], rows["m"][1:] != rows["m"][:-1]])
+    new = new_group | np.concatenate([[True], rows["c"][1:] != rows["c"][:-1]])
+    first = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return rows, new_group, new, (rows["key"] == first["key"]) & (rows["lo"] == first["lo"])
+
+
+def _by_chunk(rows: np.ndarray, chunks: int) -> list[tuple[int, bytes]]:
+    chunk = rows["key"] % chunks
+    order = np.lexsort((rows["m"], chunk))
+    rows, chunk = rows[order], chunk[order]
+    edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(rows)] if len(rows) else [0]
+    return [(int(chunk[a]), _pack(rows[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _sift(chunks: int):
+    """Of the anchors of a bucket and part: the first of each context stays, the others are copies."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, _, _, original = _ordered(table)
+        bucket = table.column("bucket")[0].as_py()
+        # Rows with the same place are one document's; one of them stands for all.
+        stays = rows[original]
+        stays = stays[np.concatenate([[True], (stays[["m", "c", "key", "lo"]][1:] != stays[["m", "c", "key", "lo"]][:-1])])]
+        out = [(bucket, -1, True, _pack(stays))] + [(bucket, c, False, x) for c, x in _by_chunk(rows[~original], chunks)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SIFTED, strict=True)], schema=_SIFTED)
 
     return run
 
@@ -142,23 +180,10 @@ def _judge(chunks: int):
     """Of the contexts of a bucket: which are copies of an earlier one, and which must be looked at."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([_unpack(x) for x in table.column("data").to_pylist()])
-        rows = rows[np.lexsort((rows["lo"], rows["key"], rows["c"], rows["m"]))]
-        new_group = np.concatenate([[True], rows["m"][1:] != rows["m"][:-1]])
-        new = new_group | np.concatenate([[True], rows["c"][1:] != rows["c"][:-1]])
-        first = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        original = (rows["key"] == first["key"]) & (rows["lo"] == first["lo"])
+        rows, new_group, new, original = _ordered(table)
         kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_group))[np.cumsum(new_group) - 1]
-        out: list[list] = [[], [], []]
-        for wanted, some in ((True, rows[new & ((kinds > 1) | rows["inner"])]), (False, rows[~original])):
-            chunk = some["key"] % chunks
-            order = np.lexsort((some["m"], chunk))
-            some, chunk = some[order], chunk[order]
-            edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(some)] if len(some) else [0]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                for cell, x in zip(out, (int(chunk[a]), wanted, _pack(some[a:b])), strict=True):
-                    cell.append(x)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _JUDGED, strict=True)], schema=_JUDGED)
+        out = [(c, True, x) for c, x in _by_chunk(rows[new & ((kinds > 1) | rows["inner"])], chunks)] + [(c, False, x) for c, x in _by_chunk(rows[~original], chunks)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _JUDGED, strict=True)], schema=_JUDGED) if out else _JUDGED.empty_table()
 
     return run
 
@@ -222,9 +247,6 @@ def _window_hashes(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return mix64((sums[at + length] - sums[at]) * _powers(_INVERSE, len(text))[at])
 
 
-_COVER = pa.schema([("chunk", pa.int64()), ("wanted", pa.bool_()), ("data", pa.binary())])
-
-
 def _recurring(parts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, start, end) of the stretches whose windows hold no gram that the parts have only once. No other window can be repeated."""
     sizes = np.array(list(map(len, parts)), np.int64)
@@ -293,15 +315,12 @@ def _sort(length: int, gram: int, chunks: int):
                 at = end + 1
             start = stop
         if not covers:
-            return _COVER.empty_table()
+            return _JUDGED.empty_table()
         who, x, y = (np.array(c) for c in zip(*covers, strict=True))
         rows = np.zeros(len(who), _ANCHOR)
         rows["key"], rows["lo"], rows["size"] = key[who], lo[who] + x, y - x
-        chunk = rows["key"] % chunks
-        by = np.argsort(chunk, kind="stable")
-        rows, chunk = rows[by], chunk[by]
-        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(rows)]
-        return pa.Table.from_arrays([pa.array([int(chunk[x]) for x in edges[:-1]]), pa.array([False] * (len(edges) - 1)), pa.array([_pack(rows[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], schema=_COVER)
+        out = [(c, False, x) for c, x in _by_chunk(rows, chunks)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _JUDGED, strict=True)], schema=_JUDGED)
 
     return run
 
@@ -360,12 +379,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     rows = _keyed(docs, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(LEAST_CHUNKS, -(-size // chunk_bytes))
-    found = rows.select("key", "text").mapInArrow(_scan(length, gram, chunks), "bucket long, data binary")
+    parts = -(-chunks // MEETING)
+    found = rows.select("key", "text").mapInArrow(_scan(length, gram, chunks, parts), "bucket long, part long, data binary")
+    copies = None
+    if parts > 1:
+        sifted = materialize(found.groupBy("bucket", "part").applyInArrow(_sift(chunks), "bucket long, chunk long, wanted boolean, data binary"), "sifted")
+        found, copies = sifted.filter("wanted").select("bucket", "data"), sifted.filter("not wanted").select("chunk", "wanted", "data")
     judged = materialize(found.groupBy("bucket").applyInArrow(_judge(chunks), "chunk long, wanted boolean, data binary"), "judged")
     dealt = rows.select(F.pmod(F.col("key"), F.lit(chunks)).alias("chunk"), "key", "doc_id", "text")
     taken = dealt.groupBy("chunk").cogroup(judged.filter("wanted").groupBy("chunk")).applyInArrow(_fetch(chunks), "bucket long, m long, key long, lo long, bytes binary")
     sorted_ = taken.groupBy("bucket").applyInArrow(_sort(length, gram, chunks), "chunk long, wanted boolean, data binary")
     covers = judged.filter("not wanted").unionByName(sorted_)
+    covers = covers if copies is None else covers.unionByName(copies)
     kind = docs.schema[id_col].dataType
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
     return dealt.groupBy("chunk").cogroup(covers.groupBy("chunk")).applyInArrow(_remove(schema), f"doc_id {kind.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -48,8 +48,9 @@ def made(seed):
     return docs + docs[:5] + [d[:50] + "!" + d[50:] for d in docs[5:10]]
 
 
-@pytest.mark.parametrize(("seed", "large"), [(1, None), (2, None), (3, 100)])
-def test_spans_are_those_of_brute_force(spark, monkeypatch, seed, large):
+@pytest.mark.parametrize(("seed", "large", "meeting"), [(1, None, 256), (2, None, 5), (3, 100, 256)])
+def test_spans_are_those_of_brute_force(spark, monkeypatch, seed, large, meeting):
+    monkeypatch.setattr(sd, "MEETING", meeting)
     if large:
         monkeypatch.setattr(sd, "LARGE", large)
     docs = list(enumerate(made(seed)))
@@ -59,7 +60,9 @@ def test_spans_are_those_of_brute_force(spark, monkeypatch, seed, large):
         assert (got[d]["n_bytes"], [(s["start"], s["end"]) for s in got[d]["spans"]], bytes(got[d]["kept"])) == (n, spans, kept)
 
 
-def test_odd_rows(odd, odd_rows, empty):
+@pytest.mark.parametrize("meeting", [256, 3])
+def test_odd_rows(odd, odd_rows, empty, monkeypatch, meeting):
+    monkeypatch.setattr(sd, "MEETING", meeting)
     got = sd.remove_repeats(odd).collect()
     assert len(got) == len(odd_rows) and sd.remove_repeats(empty).count() == 0
     # In order of doc_id, null last; rows with the same doc_id and text are one document.
