@@ -130,7 +130,7 @@ class Forest:
     def _count(self, rows: DataFrame, dims: int) -> list:
         """Of rows with a column ``node``: verdicts, noisy counts and the ends of the values."""
         p = prepare(rows, {"node": F.col("node")}, self.aids, {"n": Agg("count")}, self.context)
-        long = materialize(contributed(p, self.integers), "cells")
+        long = contributed(p, self.integers)
         most = self.params.outlier_count.upper + self.params.top_count.upper
         stats = statistics(long, p.keys, most)
         counts = combine(flatten(_seeded(stats, p), self.params), p, False).select("k0", "n")
