@@ -56,7 +56,8 @@ class Engine:
         return df.toDF(*names)
 
     def explain(self, text: str, mode: str = "formatted") -> str:
-        return self.sql(text)._sc._jvm.PythonSQLUtils.explainString(self.sql(text)._jdf.queryExecution(), mode)
+        df = self.sql(text)
+        return self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
     # Sources
 
