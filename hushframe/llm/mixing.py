@@ -44,7 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc, id, source, size): each whole row in a struct."""
-    return pack(docs, id=F.col(id_col), source=F.col(source_col), size=n_words(F.col(text_col)))
+    # A generator is evaluated once; a projected size would be counted anew wherever it is used.
+    return pack(docs, id=F.col(id_col), source=F.col(source_col), size=F.explode(F.array(n_words(F.col(text_col)))))
 
 
 def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
