@@ -13,7 +13,8 @@ def _relabel(edges: DataFrame, large: bool) -> DataFrame:
     arcs = edges.select("u", "v")
     if large:
         arcs = arcs.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # As a table of its own it meets the arcs in a join whose hot partitions Spark can split.
+    least = materialize(arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     linked = arcs.join(least, "u")
     if large:
         linked = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

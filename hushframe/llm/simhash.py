@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     printed = materialize(docs.select(F.col(id_col).alias("doc_id"), *carry, fingerprint_udf()(F.col(text_col)).alias("fp")), "fingerprints")
     classes = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    labelled = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    labelled = materialize(classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+    named = materialize(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "named")
     named = labelled.join(named, "label").select("fp", "label", "component_id")
     return printed.join(named, "fp").select("doc_id", *carry, "fp", "label", "component_id")
