@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hushframe.storage import materialize, new_path, shared_dir
 
-__all__ = ["as_bytes", "crc_mod", "cut", "interned", "materialize", "mix64", "new_path", "pack", "shared_dir", "table", "unpack"]
+__all__ = ["as_bytes", "crc_mod", "cut", "interned", "materialize", "mix64", "new_path", "pack", "release", "shared_dir", "table", "unpack"]
 
 #: Text handled by Python at once inside a worker, in bytes.
 SLICE_BYTES = 1 << 20
@@ -53,6 +56,13 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: idle Python workers stay for a while, beside those at work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit words (the splitmix64 finalizer)."""
     x = x.astype(np.uint64, copy=True)

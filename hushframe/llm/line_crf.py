@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import as_bytes, cut, pack
+from hushframe.llm.common import as_bytes, cut, pack, release
 from hushframe.llm.numbering import hash48
 from hushframe.llm.text_stats import FEATURES, SLICE, Stats
 
@@ -124,6 +124,7 @@ def _feature_lists():
         for _, lines, x in line_features(texts):
             edges = np.cumsum([0, *(len(a) for a, _ in lines)])
             out += [x[p:q].ravel().tolist() if q - p <= MAX_LINES else [] for p, q in zip(edges[:-1], edges[1:], strict=True)]
+        release()
         return pa.array(out, pa.list_(pa.float32()))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
@@ -173,6 +174,7 @@ def label(crf: Crf, share: float = SHARE):
             failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n_words)
             for k, v in ((0, n_words), (1, stats.count("chars", da, db)), (2, stats.count("symbols", da, db)), (4, repeated), (7, failed)):
                 cols[k] += v.tolist()
+        release()
         cols[8] = [not f and c >= share * n for f, c, n in zip(cols[7], cols[5], cols[0], strict=True)]
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind, strict=True)], fields=list(kind))
 
