@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hushframe.storage import materialize, new_path, shared_dir
 
-__all__ = ["as_bytes", "crc_mod", "cut", "interned", "materialize", "mix64", "new_path", "pack", "release", "shared_dir", "table", "unpack"]
+__all__ = ["as_bytes", "crc_mod", "cut", "interned", "materialize", "mix64", "new_path", "pack", "release", "small_batches", "shared_dir", "table", "unpack"]
 
 #: Text handled by Python at once inside a worker, in bytes.
 SLICE_BYTES = 1 << 20
@@ -56,6 +56,13 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hands Python at most ``rows`` texts at once (the session's setting, if it is larger): a batch is held whole, on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release() -> None:
     """Gives memory that is free back to the system: idle Python workers stay for a while, beside those at work."""
     pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import as_bytes, cut, pack, release
+from hushframe.llm.common import as_bytes, cut, pack, release, small_batches
 from hushframe.llm.numbering import hash48
 from hushframe.llm.text_stats import FEATURES, SLICE, Stats
 
@@ -184,5 +184,6 @@ def label(crf: Crf, share: float = SHARE):
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, quality): each whole row in a struct, and a struct of the counts, the lines' labels and the verdict."""
+    small_batches(docs.sparkSession)
     verdict = label(fit(docs, labels, id_col=id_col, text_col=text_col))
     return pack(docs, quality=verdict(F.col(text_col)))
