@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from hushframe.llm import decontaminate as dc
 
 
@@ -52,3 +53,11 @@ def test_odd_tables(spark, odd, odd_rows, empty):
     assert len(got(dc.decontaminate(odd, bench))) == len(odd_rows)
     assert dc.decontaminate(empty, bench).count() == 0
     assert {r[2] for r in got(dc.decontaminate(odd, bench.filter("false")))} == {0}
+
+
+def test_stage_removes_a_document_with_one_item(spark, text_of, tmp_path):
+    item, clean = text_of("item", 20), text_of("clean", 100)
+    spark.createDataFrame([(1, item), (2, "rare")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, clean), (2, f"{clean} {item}"), (3, " ".join(item.split()[3:11])), (4, " ".join(item.split()[3:10])), (5, "a rare word"), (6, None), (7, f"rare {item}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()) == [1, 4, 5, 6]
