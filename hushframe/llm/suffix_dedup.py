@@ -81,8 +81,8 @@ def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     return m[lo], c, lo, end - lo, chosen > len(lo)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Columns one after the other, each in the least width; the first ones sorted as differences."""
+def _pack(x: np.ndarray, again: bool = False) -> bytes:
+    """Columns one after the other, each in the least width; the first ones sorted as differences. Of the context's hash 56 bits stay, also when packed ``again``."""
     out = [len(x).to_bytes(4, "little")]
     for name in x.dtype.names:
         col = x[name]
@@ -90,7 +90,7 @@ def _pack(x: np.ndarray) -> bytes:
             col = np.diff(col, prepend=np.uint64(0))
             width = max(1, (int(col.max()).bit_length() + 7) // 8)
         elif name == "c":
-            col, width = col >> np.uint64(8), 7
+            col, width = col if again else col >> np.uint64(8), 7
         elif name == "inner":
             out.append(b"\x01" + col.tobytes())
             continue
@@ -155,7 +155,7 @@ def _by_chunk(rows: np.ndarray, chunks: int) -> list[tuple[int, bytes]]:
     order = np.lexsort((rows["m"], chunk))
     rows, chunk = rows[order], chunk[order]
     edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(rows)] if len(rows) else [0]
-    return [(int(chunk[a]), _pack(rows[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [(int(chunk[a]), _pack(rows[a:b], again=True)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _sift(chunks: int):
@@ -167,7 +167,7 @@ def _sift(chunks: int):
         # Rows with the same place are one document's; one of them stands for all.
         stays = rows[original]
         stays = stays[np.concatenate([[True], (stays[["m", "c", "key", "lo"]][1:] != stays[["m", "c", "key", "lo"]][:-1])])]
-        out = [(bucket, -1, True, _pack(stays))] + [(bucket, c, False, x) for c, x in _by_chunk(rows[~original], chunks)]
+        out = [(bucket, -1, True, _pack(stays, again=True))] + [(bucket, c, False, x) for c, x in _by_chunk(rows[~original], chunks)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SIFTED, strict=True)], schema=_SIFTED)
 
     return run

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,3 +77,12 @@ def test_columns_survive_packing():
     rows["m"], rows["c"], rows["key"], rows["lo"], rows["size"], rows["inner"] = np.sort(np.random.default_rng(1).integers(0, 2**64, 5, dtype=np.uint64)), 256 * np.arange(5), [-3, 0, 1, 2**40, 5], [0, 1, 2, 70_000, 4], [100, 101, 168, 400, 5], [True, False, True, False, False]
     back = sd._unpack(sd._pack(rows))
     assert all((back[n] == (rows[n] >> np.uint64(8) if n == "c" else rows[n])).all() for n in rows.dtype.names)
+
+
+def test_sifted_contexts_keep_their_hash():
+    rows = np.zeros(3, sd._ANCHOR)
+    rows["m"], rows["c"], rows["key"], rows["size"] = 7, np.array([1, 2, 255], np.uint64) << np.uint64(8), [1, 2, 3], 100
+    packed = sd._pack(rows)
+    sifted = sd._sift(4)(pa.table({"bucket": [0], "data": [packed]}))
+    assert sifted.column("wanted").to_pylist() == [True]
+    assert sd._unpack(sifted.column("data")[0].as_py())["c"].tolist() == sd._unpack(packed)["c"].tolist() == [1, 2, 255]
