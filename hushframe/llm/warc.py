@@ -5,7 +5,9 @@ largest page_id is a response and the others are revisits that refer to it; smal
 manifest of finished files, so what a failed or repeated task left behind is never read.
 
 The reader checks every record: the member's checksum, the version line, the needed headers, the length and the block's digest. After a failed
-check it searches on for the next valid member or version line, goes on from there, and logs the bytes between as a quarantined gap.
+check it searches on for the next valid member or version line, goes on from there, and logs the bytes between as a quarantined gap. Within a
+member it searches the decompressed bytes in the same way, of a cut member what there is. A member that is corrupt (an error or another checksum)
+is a gap as a whole: nothing else tells whether its headers are right. Records and gaps of a member have its place in the file.
 
 Rows: one per page row. A null html is an empty payload, a null url is left out, a null page_id is never the largest; rows that repeat the
 largest page_id of a payload are all responses; payloads of any length are one record; an empty table makes no files.
@@ -81,17 +83,41 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, block, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """What the gzip member at ``at`` holds, and where it ends."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` holds, where it ends, and whether it is cut short; then what there is of it."""
     unpack, out, view = zlib.decompressobj(31), [], memoryview(data)
     try:
         for a in range(at, len(data), 1 << 16):
             out.append(unpack.decompress(view[a : a + (1 << 16)]))
             if unpack.eof:
-                return b"".join(out), min(a + (1 << 16), len(data)) - len(unpack.unused_data)
-    except zlib.error as e:
+                return b"".join(out), min(a + (1 << 16), len(data)) - len(unpack.unused_data), None
+    except zlib.error as e:  # headers have no digest but the member's
         raise Damaged(f"gzip: {e}") from e
-    raise Damaged("gzip: the member is cut short")
+    return b"".join(out), len(data), "gzip: the member is cut short"
+
+
+def _inside(inner: bytes, whole: bool) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The records in a member's bytes, and gaps (start, end, what failed first). Where the member is not whole no record that reaches its end passes."""
+    found, gaps, place, gap, why = [], [], 0, None, ""
+    while place < len(inner):
+        try:
+            head, block, end = parse(inner, place)
+            if not whole and end == len(inner):
+                raise Damaged("nothing follows in a member that is cut short")
+        except Damaged as e:
+            if gap is None:
+                gap, why = place, str(e)
+            version = _VERSION.search(inner, place + 1)
+            place = version.start() if version else len(inner)
+            continue
+        if gap is not None:
+            gaps.append((gap, place, why))
+            gap = None
+        found.append((head, block))
+        place = end
+    if gap is not None:
+        gaps.append((gap, place, why))
+    return found, gaps
 
 
 def _next(data: bytes, at: int) -> int:
@@ -102,17 +128,24 @@ def _next(data: bytes, at: int) -> int:
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
     """(offset, length, gap, headers, block) of each record, and of each gap with what failed first."""
-    at, gap, why = 0, None, ""
+    at, gap, why, saved = 0, None, "", []
     while at < len(data):
+        inside = []
         try:
             if data.startswith(_GZIP, at):
-                inner, end = _member(data, at)
-                found, place = [], 0
-                while place < len(inner):
-                    head, block, place = parse(inner, place)
-                    found.append((head, block))
+                inner, end, wrong = _member(data, at)
+                found, inside = _inside(inner, wrong is None)
+                if wrong and found:
+                    # The cut member is a gap of its own, and its records have the gap's place.
+                    if gap is not None:
+                        yield from _closed(gap, at, why, saved)
+                    gap, why, saved = at, wrong, found
+                if wrong or inside and not found:
+                    raise Damaged(wrong or inside[0][2])
             else:
                 head, block, end = parse(data, at)
+                if (head, block) in saved:  # stored without compression in the member
+                    raise Damaged("a record that was found before")
                 found = [(head, block)]
         except Damaged as e:
             if gap is None:
@@ -120,13 +153,21 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str],
             at = _next(data, at + 1)
             continue
         if gap is not None:
-            yield gap, at - gap, why, {}, b""
-            gap = None
+            yield from _closed(gap, at, why, saved)
+            gap, saved = None, []
+        for start, stop, what in inside:
+            yield at, end - at, f"{what} (bytes {start} to {stop} of the member)", {}, b""
         for head, block in found:
             yield at, end - at, None, head, block
         at = end
     if gap is not None:
-        yield gap, at - gap, why, {}, b""
+        yield from _closed(gap, at, why, saved)
+
+
+def _closed(gap: int, end: int, why: str, saved: list):
+    yield gap, end - gap, why, {}, b""
+    for head, block in saved:
+        yield gap, end - gap, None, head, block
 
 
 def _page(urn: str | None) -> int | None:

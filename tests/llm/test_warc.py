@@ -66,3 +66,24 @@ def test_plain_record_with_another_length():
     bad = bad.replace(b"Content-Length: ", b"Content-Length: 9", 1)
     found = list(warc.salvage(good + bad + good))
     assert [gap is None for _, _, gap, _, _ in found] == [True, False, True]
+
+
+def kept(data):
+    found = list(warc.salvage(data))
+    return [warc._page(h["warc-record-id"]) for _, _, gap, h, _ in found if gap is None], [(a, n) for a, n, gap, _, _ in found if gap is not None]
+
+
+def test_one_bad_record_of_a_member_costs_only_itself():
+    for hit in range(6):
+        parts = records()
+        parts[hit] = parts[hit].replace(b"payload", b"pAyload", 1)
+        member = gzip.compress(b"".join(parts), mtime=0)
+        assert kept(b"x" + member) == ([i for i in range(6) if i != hit], [(0, 1), (1, len(member))])
+
+
+def test_a_member_cut_short_keeps_what_is_there():
+    blocks = [warc.record(i, "http://x", hashlib.sha512(b"%d" % i).hexdigest().encode() * 9, "response", None) for i in range(200)]
+    for level in (0, 6):
+        member = gzip.compress(b"".join(blocks), level, mtime=0)
+        ids, gaps = kept(b"x" + member[: len(member) // 2])
+        assert 60 < len(ids) < 140 and ids == list(range(len(ids))) and gaps == [(0, 1), (1, len(member) // 2)]
