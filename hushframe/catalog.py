@@ -82,6 +82,7 @@ CATALOG: dict[str, tuple[str, str, str | None]] = {
     "left_join": ("direct", "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000.0", None),
     "right_join": ("direct", "SELECT c_custkey AS c, o_orderkey AS o FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P'", None),
     "full_join": ("direct", "SELECT a.k AS a, b.k AS b FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0) b ON a.k = b.k", None),
+    "full_join_whole": ("direct", "SELECT o_orderkey AS o, c_custkey AS c FROM orders FULL JOIN customer ON o_custkey = c_custkey", None),
     "cross_join": ("direct", "SELECT n_name, r_name FROM nation, region", None),
     "theta_join": ("direct", "SELECT a.n_name AS a, b.n_name AS b FROM nation AS a JOIN nation AS b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey", None),
     "self_join": ("direct", "SELECT count(*) AS n FROM orders AS a JOIN orders AS b ON a.o_custkey = b.o_custkey", None),
@@ -130,6 +131,7 @@ CATALOG: dict[str, tuple[str, str, str | None]] = {
     "anon_join": ("quiet", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", _anon("customer JOIN nation ON c_nationkey = n_nationkey", {"n_name": "n_name"}, "c_custkey", _COUNT)),
     "anon_subquery": ("quiet", "SELECT t.seg || '!' AS seg, t.n * 2 AS n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1) t", "SELECT seg || '!' AS seg, n * 2 AS n FROM (" + _anon("customer", {"seg": "c_mktsegment"}, "c_custkey", _COUNT) + ")"),
     "bucket_expansion": ("quiet", "SELECT c_mktsegment FROM customer WHERE c_nationkey = 3", f"SELECT c_mktsegment FROM ({_anon('customer WHERE c_nationkey = 3', _SEG, 'c_custkey', _COUNT)}), unnest(range(n)) AS u(i)"),
+    "bucket_expansion_whole": ("quiet", "SELECT c_mktsegment FROM customer", f"SELECT c_mktsegment FROM ({_anon('customer', _SEG, 'c_custkey', _COUNT)}), unnest(range(n)) AS u(i)"),
     "low_count": ("level_direct", "SELECT c_nationkey AS nation, c_mktsegment AS seg, floor_by(c_acctbal, 1000.0) AS step, diffix_low_count(c_custkey) AS low FROM customer GROUP BY 1, 2, 3", "SELECT CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS seg, floor(c_acctbal / 1000.0) * 1000.0 AS step, count(DISTINCT c_custkey) < 2 AS low FROM customer GROUP BY ALL"),
     "diffix_count": ("direct", "SELECT diffix_count(DISTINCT o_orderstatus, o_custkey) AS d FROM orders", "SELECT count(DISTINCT o_orderstatus) AS d FROM orders"),
     "diffix_sum": ("level_direct", "SELECT o_orderstatus AS st, diffix_low_count(o_custkey) AS low, diffix_sum(o_totalprice, o_custkey) AS s, diffix_count(*, o_custkey) AS n, diffix_sum_noise(o_totalprice, o_custkey) AS sn, diffix_count_noise(*, o_custkey) AS cn FROM orders GROUP BY 1", _anon("orders", {"st": "o_orderstatus"}, "o_custkey", f"entities < 2 AS low, {_SUM}, {_COUNT}, 0.0::DOUBLE AS sn, 0.0::DOUBLE AS cn", "o_totalprice", having="true")),

@@ -30,3 +30,10 @@ def test_rows_are_those_of_the_oracle(spark, duck, name):
     assert sorted(mine.columns) == sorted(columns)
     want = sorted(tuple(text(r[columns.index(c)]) for c in sorted(columns)) for r in cursor.fetchall())
     assert sorted(tuple(text(r[c]) for c in sorted(columns)) for r in mine.collect()) == want
+
+
+def test_whole_tables_are_joined_and_expanded(spark):
+    rows = catalog.QUERIES["full_join_whole"](spark, DATA).collect()
+    for column, table, key in (("o", "orders", "o_orderkey"), ("c", "customer", "c_custkey")):
+        assert {r[column] for r in rows} - {None} == {r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()}
+    assert catalog.QUERIES["bucket_expansion_whole"](spark, DATA).count() > 5 * catalog.QUERIES["bucket_expansion"](spark, DATA).count()
