@@ -61,3 +61,30 @@ def test_stage_removes_a_document_with_one_item(spark, text_of, tmp_path):
     docs = [(1, clean), (2, f"{clean} {item}"), (3, " ".join(item.split()[3:11])), (4, " ".join(item.split()[3:10])), (5, "a rare word"), (6, None), (7, f"rare {item}")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()) == [1, 4, 5, 6]
+
+
+def test_fingerprints_are_selected_and_every_shared_span_has_one(text_of):
+    a = text_of("left", 40) + " " + text_of("shared", dc.SPAN) + " " + text_of("tail", 30)
+    b = text_of("other", 33) + " " + text_of("shared", dc.SPAN) + " " + text_of("end", 50)
+    long = dc.Texts([text_of("long", 50_000).encode()])
+    at, _ = long.selected(dc.SPAN, False)
+    assert len(at) < 0.4 * 50_000  # two for every six grams, not one for every span
+    for x, y in ((a, b), (b, a), ("the " * 9, "the " * 20)):
+        fps = [set(dc.Texts([t.encode()]).selected(dc.SPAN, False)[1].tolist()) for t in (x, y)]
+        assert fps[0] & fps[1]
+
+
+def test_spans_at_every_offset_are_found(spark, text_of):
+    """Hits end where the words differ, however little is shared beyond the span, and repeated words within a span."""
+    item = text_of("item", 30).split()
+    docs = [(1000 * n + i, " ".join(["xx"] * j + item[i : i + n] + ["yy"] * 9)) for n in (7, 8, 9, 13) for i in range(30 - n) for j in (0, 3)]
+    docs += [(-1, "ab " * 12 + "cd"), (-2, "cd " + "ab " * 7), (-3, "ab " * 8)]
+    items = [(1, " ".join(item)), (2, "ab " * 10), (3, "cd ef")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(dc.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"))) == brute(docs, items)
+
+
+def test_empty_tables_in_the_stage(spark, empty, odd, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.decontamination(spark, empty, str(tmp_path)).count() == 0
+    assert corpus_pipeline.decontamination(spark, odd, str(tmp_path)).count() == odd.count()
