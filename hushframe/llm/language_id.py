@@ -4,7 +4,8 @@ Each letter has a random vector of +1 and -1, drawn from its code point. An n-gr
 vectors, each permuted (rotated) by its place. A text is the sum of its n-gram vectors, a language the sum of its training
 texts scaled to length one; a text gets the language whose vector has the largest cosine with its own.
 
-Rows: one per document row. `und` with score 0: a null text, one without letters, or nothing learned. Ties go to the language
+Rows: one per document row; repeated rows are predicted and learned from one by one; an empty table gives no rows; columns besides id, text and
+language are not read, whatever their names. `und` with score 0: a null text, one without letters, or nothing learned. Ties go to the language
 that sorts first. Very long texts are read whole, in pieces. Training rows need a text and a language.
 """
 

@@ -6,8 +6,10 @@ the label of the document is the label of its lines, and the chain's likelihood
 forward-backward algorithm. Viterbi decoding labels the lines of every text; a text is kept if at least ``share`` of its words are in
 content lines and the base rules do not fail it.
 
-Rows: one per document row. Null and empty texts have no words and fail the base rules; a text of one very long line is a chain of
-one; without labels of both kinds every line counts as content.
+Rows: one per document row; repeated rows are judged one by one and alike. Null and empty texts have no words and fail the base rules; a text
+of one very long line is a chain of one, and texts of any length are read whole. Where two labels of a line are equally likely it counts as content.
+Without labels of both kinds, or without documents that have them, every line counts as content; an empty table gives no rows. Whole rows
+stand in a struct, so no column of theirs clashes with the verdict.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import as_bytes, cut, pack, release, small_batches
+from hushframe.llm.common import as_bytes, cut, materialize, pack, release, small_batches
 from hushframe.llm.numbering import hash48
 from hushframe.llm.text_stats import FEATURES, SLICE, Stats
 
@@ -132,15 +134,19 @@ def _feature_lists():
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, quality, text) of at most per_label documents for each label, by a hash of doc_id; the ids are so few that they are broadcast."""
+    """(doc_id, quality, text) of at most per_label documents for each label, by a hash of doc_id; the ids are so few that they are broadcast.
+
+    A row for each id and label: of rows that repeat a doc_id the least text counts. It is a table, so that nothing done to these texts is done to all others before the join.
+    """
     some = [labels.filter(F.col("quality") == k).select(F.col(id_col).alias("doc_id"), "quality").distinct().orderBy(hash48("sample", F.col("doc_id")), "doc_id").limit(per_label) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return materialize(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    rows = labelled_sample(docs, labels, per_label, id_col, text_col).select("doc_id", "quality", _feature_lists()("text").alias("x")).filter(F.size("x") > 0).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
+    rows = labelled_sample(docs, labels, per_label, id_col, text_col).select("doc_id", "quality", _feature_lists()("text").alias("x")).collect()
+    rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["doc_id"], r["quality"]))
     return train([np.array(r["x"]).reshape(-1, len(FEATURES)) for r in rows], [int(r["quality"]) for r in rows])
 
 

@@ -5,8 +5,10 @@ A text is a bag of passages of ``WORDS`` words. Every passage is encoded (one ta
 from labels of whole documents by gradient descent, on at most ``per_label`` documents of each label with at most ``max_passages`` passages
 (a fixed bound, chosen by a hash of doc_id).
 
-Rows: one per document row. Null, empty and blank texts are one empty passage and get a score too; without labels of both kinds
-every score is the share of label 1 (0.5 without labels). Very long texts are scored whole.
+Rows: one per document row; repeated rows get the same score, and of rows that repeat a labelled doc_id the least text is learned from. Null,
+empty and blank texts are one empty passage and get a score too; a score of exactly 0.5 predicts label 1; without labels of both kinds every score
+is the share of label 1 (0.5 without labels); an empty table gives no rows. Very long texts are scored whole. Columns besides id and text
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -113,8 +115,8 @@ def _feature_lists():
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> Attention:
     """``training``: a condition on the labels' id."""
-    rows = labelled_sample(docs, labels.filter(training), per_label, id_col, text_col).select("doc_id", "quality", _feature_lists()("text").alias("x")).filter(F.size("x") > 0).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
+    rows = labelled_sample(docs, labels.filter(training), per_label, id_col, text_col).select("doc_id", "quality", _feature_lists()("text").alias("x")).collect()
+    rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["doc_id"], r["quality"]))
     return train([np.array(r["x"]).reshape(-1, len(FEATURES)) for r in rows], [int(r["quality"]) for r in rows])
 
 

@@ -85,3 +85,83 @@ def test_odd_tables(odd, empty, labels, odd_rows, module):
 def test_stats_of_nothing():
     stats = Stats([b"", b""])
     assert stats.features(np.array([0, 1]), np.array([0, 1])).shape == (2, len(FEATURES))
+
+
+def described(segment, words, repeated):
+    """FEATURES of a piece of text, written out."""
+    n, count = max(len(words), 1), lambda chars: sum(segment.count(bytes([c])) for c in chars)
+    chars = max(sum(1 for b in segment if b & 0xC0 != 0x80 and b not in b" \t\n\x0b\x0c\r"), 1)
+    upper, lower = count(range(65, 91)), count(range(97, 123)) + sum(b >= 0xC0 for b in segment)
+    clip = lambda x: min(1.0, max(0.0, x))
+    row = [
+        1, clip(4 * count(b"#*$%&|<>") / chars), upper / max(upper + lower, 1), count(b"0123456789") / chars, clip(count(b".,;:") / n), clip(count(b"!?") / n), clip(2 * count(b"|") / n),
+        clip(1 - chars / n / 4), clip(chars / n / 8 - 1), repeated / n, (len(words) - len(set(words))) / n, len(words) < 8, len(words) < 2,
+    ]
+    return np.array(row, np.float32)
+
+
+def in_repeats(words):
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    return {i + j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(8)}
+
+
+def sf(spark, *names):
+    return [spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in names]
+
+
+def test_verdicts_are_those_of_brute_force(spark, odd, labels):
+    """From text to `kept`: features of every line, the likeliest labels by looking at all moves, and the share of words in content lines."""
+    for docs, marks in (sf(spark, "documents", "labels"), (odd, labels)):
+        crf = line_crf.fit(docs, marks)
+        for r in line_crf.judge(docs, marks).select("doc.text", "quality.*").collect():
+            data = (r["text"] or "").encode()
+            words, at, x, sizes = data.split(), 0, [], []
+            again = in_repeats(words)
+            for line in data.split(b"\n"):
+                own = line.split()
+                x.append(described(line, own, sum(i in again for i in range(at, at + len(own)))))
+                at += len(own)
+                sizes.append(len(own))
+            best = np.array([0.0, x[0] @ crf.unary])
+            paths = [[0], [1]]
+            for row in x[1:]:
+                came = [max((best[a] + crf.moves[a, b], a) for a in (0, 1)) for b in (0, 1)]
+                paths = [paths[came[b][1]] + [b] for b in (0, 1)]
+                best = np.array([came[0][0], came[1][0] + row @ crf.unary])
+            own = paths[int(best[1] >= best[0])]
+            content = sum(n for n, k in zip(sizes, own, strict=True) if k)
+            failed = len(words) < 20 or 100 * len(again) > 30 * len(words)
+            if abs(best[1] - best[0]) > 1e-3:
+                assert (r["base_failed"], r["n_content_words"], r["kept"]) == (failed, content, not failed and content >= 0.5 * len(words))
+
+
+def test_attention_scores_are_those_of_brute_force(spark, odd, labels):
+    """Passages of 50 words, their features, gated attention and the weighted sum, one text after the other."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    for docs, marks in (sf(spark, "documents", "labels"), (odd, labels)):
+        m = passage_attention.fit(docs, marks, crc_mod("doc_id", 3) != 1)
+        texts = {}
+        for d, t in docs.select("doc_id", "text").collect():
+            words = (t or "").encode().split()
+            again, h, e = in_repeats(words), [], []
+            for a in range(0, max(1, len(words)), 50):
+                own = words[a : a + 50]
+                z = np.tanh(described(b" ".join(own), own, sum(i in again for i in range(a, a + len(own)))) @ m.encode)
+                h.append(z)
+                e.append((np.tanh(z @ m.tanh) * sigmoid(z @ m.gate)) @ m.weigh)
+            share = np.exp(np.array(e) - max(e))
+            texts.setdefault(d, []).append(float(sigmoid(share / share.sum() @ np.array(h) @ m.out + m.bias)))
+        got = {}
+        for r in passage_attention.classify(docs, marks, crc_mod("doc_id", 3) != 1).collect():
+            got.setdefault(r["doc_id"], []).append(r["score"])
+        assert got.keys() == texts.keys() and all(np.allclose(sorted(got[d]), sorted(texts[d]), atol=1e-4) for d in got)
+
+
+@pytest.mark.parametrize("repeats", [1, 3])
+def test_training_reads_only_the_sample(spark, labels, text_of, repeats):
+    """No Python on all documents: the plan of the sampled texts joins before anything else, and a repeated id is one row."""
+    docs = spark.createDataFrame([(i, text_of(i, 30)) for i in range(20)] * repeats, "doc_id long, text string")
+    sample = line_crf.labelled_sample(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"), 5, "doc_id", "text")
+    assert sample.count() == 10
+    plan = sample.select(line_crf._feature_lists()("text"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Join" not in plan
