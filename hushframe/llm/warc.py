@@ -10,7 +10,8 @@ member it searches the decompressed bytes in the same way, of a cut member what
 is a gap as a whole: nothing else tells whether its headers are right. Records and gaps of a member have its place in the file.
 
 Rows: one per page row. A null html is an empty payload, a null url is left out, a null page_id is never the largest; rows that repeat the
-largest page_id of a payload are all responses; payloads of any length are one record; an empty table makes no files.
+largest page_id of a payload are all responses; payloads of any length are one record; an empty table makes no files; columns besides
+id, url and html are not read, whatever their names. An archive is read whole by one task, so ``read_archives`` takes files up to 2 GB.
 """
 
 from __future__ import annotations
@@ -120,15 +121,25 @@ def _inside(inner: bytes, whole: bool) -> tuple[list[tuple[dict[str, str], bytes
     return found, gaps
 
 
-def _next(data: bytes, at: int) -> int:
-    """The next place from ``at`` on where a member or a record may begin."""
-    gz, plain = data.find(_GZIP, at), _VERSION.search(data, at)
-    return min([x for x in (gz, plain.start() if plain else -1) if x >= 0], default=len(data))
+class _Starts:
+    """The next place where a member or a record may begin. What was found is kept until it is passed, so the bytes are searched once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.member, self.version = data, -1, -1
+
+    def after(self, at: int) -> int:
+        end = len(self.data)
+        if self.member < at:
+            self.member = found if (found := self.data.find(_GZIP, at)) >= 0 else end
+        if self.version < at:
+            self.version = found.start() if (found := _VERSION.search(self.data, at)) else end
+        return min(self.member, self.version)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
     """(offset, length, gap, headers, block) of each record, and of each gap with what failed first."""
     at, gap, why, saved = 0, None, "", []
+    starts = _Starts(data)
     while at < len(data):
         inside = []
         try:
@@ -150,7 +161,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str],
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = _next(data, at + 1)
+            at = starts.after(at + 1)
             continue
         if gap is not None:
             yield from _closed(gap, at, why, saved)

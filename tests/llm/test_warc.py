@@ -87,3 +87,22 @@ def test_a_member_cut_short_keeps_what_is_there():
         member = gzip.compress(b"".join(blocks), level, mtime=0)
         ids, gaps = kept(b"x" + member[: len(member) // 2])
         assert 60 < len(ids) < 140 and ids == list(range(len(ids))) and gaps == [(0, 1), (1, len(member) // 2)]
+
+
+def test_many_false_starts_are_searched_once():
+    """Damage full of what looks like members and version lines takes time in proportion to its length."""
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        data = b"\x1f\x8b\x08 no member " * n + gzip.compress(records(1)[0], mtime=0)
+        began = time.perf_counter()
+        assert [warc._page(h["warc-record-id"]) for _, _, gap, h, _ in warc.salvage(data) if gap is None] == [0]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_very_long_payload(spark):
+    pages = spark.createDataFrame([(1, None, "lange Seite ü " * 1_000_000)], "page_id long, url string, html string")
+    row = warc.read(warc.write(pages)).first()
+    assert row["payload_bytes"] == 15_000_000 and bytes(row["payload"]).decode() == "lange Seite ü " * 1_000_000
