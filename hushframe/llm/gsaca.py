@@ -32,7 +32,7 @@ def _grouped(text: list[int]) -> tuple[list[int], list[int], list[int]]:
     for i in range(n - 1, -1, -1):
         if not end[group[order[i]]]:
             end[group[order[i]]] = i
-    before = [-1] * n
+    before, known = [-1] * n, [False] * n
     at = n - 1
     while at > 0:
         mine = group[order[at]]
@@ -42,7 +42,7 @@ def _grouped(text: list[int]) -> tuple[list[int], list[int], list[int]]:
             p = i - 1
             while p >= 0 and group[p] >= mine:
                 p = before[p]
-            before[i] = p
+            before[i], known[i] = p, True
             if p >= 0:
                 # A single pointer: the suffix moves behind the rest of its group.
                 old = group[p]
@@ -54,25 +54,28 @@ def _grouped(text: list[int]) -> tuple[list[int], list[int], list[int]]:
                     group[p], end[last], end[old] = last, last, last - 1
             at -= 1
             continue
-        members = order[mine : at + 1]
-        members.sort()
-        for i in members:
-            p = i - 1
+        for i in order[mine : at + 1]:
+            if known[i]:
+                continue
+            # Members that are met on the way have the same previous smaller suffix, so each pointer is followed once, whatever the order of the members.
+            met, p = [i], i - 1
             while p >= 0 and group[p] >= mine:
-                p = before[p]
-            before[i] = p
+                if group[p] == mine and not known[p]:
+                    met.append(p)
+                    p -= 1
+                else:
+                    p = before[p]
+            for j in met:
+                before[j], known[j] = p, True
             if p >= 0:
-                hits[p] = hits.get(p, 0) + 1
+                hits[p] = hits.get(p, 0) + len(met)
         if hits:
-            if len(hits) == 1:
-                levels = {1: list(hits)}
-            else:
-                levels = {}
-                for p, count in hits.items():
-                    levels.setdefault(count, []).append(p)
-            for count in sorted(levels, reverse=True):
+            levels: list[list[int]] = [[] for _ in range(max(hits.values()))]
+            for p, count in hits.items():
+                levels[count - 1].append(p)
+            for level in reversed(levels):
                 split: dict[int, list[int]] = {}
-                for p in levels[count]:
+                for p in level:
                     split.setdefault(group[p], []).append(p)
                 for old, moved in split.items():
                     last = end[old]

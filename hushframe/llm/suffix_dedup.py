@@ -4,16 +4,22 @@ A string of ``length`` bytes is judged repeated where it also starts earlier (in
 byte it covers goes. Strings are judged on the input.
 
 Windows of ``length`` bytes that are equal have the same least hash of their ``GRAM``-byte grams. Consecutive windows with the same
-least hash are one context; contexts are dealt by that hash. Equal contexts are told apart by their place alone. Of the others, one
-copy each is fetched and cut to the stretches in which every gram recurs; the stretches of a hash are joined and suffix-sorted (``gsaca``), and
-windows that stand together in suffix order and are equal byte by byte are repeats of the earliest. So only text around the ends of repeats is ever sorted, in bounded pieces.
-
-Rows: one per document row. Null is an empty text. A null doc_id comes after all others; rows that repeat a doc_id stand in order of a hash
-of their text, and rows that repeat doc_id and text are one document with one result. Texts of any length are read whole.
+least hash are one context; contexts are dealt by that hash. Equal contexts (told by BLAKE2b, 128 bits) are copies, and their place alone decides. Of the
+others, one copy each is fetched and cut to the stretches in which every gram recurs; the stretches of a hash are joined and suffix-sorted
+(``gsaca``), and windows that stand together in suffix order and are equal byte by byte are repeats of the earliest. Stretches of one hash that are too
+many for a piece are dealt again by the least of other hashes, as equal windows agree in any of them. So only text around the
+ends of repeats is ever sorted, always in the same way and in bounded pieces.
+
+Rows: one per document row. Null is an empty text, which has no string and loses nothing. A null doc_id comes after all others; rows that repeat a
+doc_id stand in order of a hash of their text, and rows that repeat doc_id and text are one document with one result. Texts of any length are read
+whole; an empty table gives no rows; columns besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,24 +31,30 @@ from hushframe.llm.gsaca import suffix_array
 
 LENGTH, GRAM = 100, 32
 CHUNK_BYTES, LEAST_CHUNKS = 4 << 20, 24
-#: Contexts are sorted together up to so many bytes; a hash whose contexts are more than LARGE is compared window by window.
-SORTED, LARGE = 1 << 15, 1 << 20
+#: Stretches are sorted together up to so many bytes; those of one hash that are more than LARGE are dealt again, so often at most.
+SORTED, LARGE, DEALT = 1 << 15, 1 << 18, 8
+#: A bucket takes the anchors of so many chunks. Anchors are packed when there are PACKED for each bucket, or HELD in all.
+BUCKET_CHUNKS, PACKED, HELD = 4, 64, 1 << 19
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
-_POWER = 0xD1342543DE82EF95
-_INVERSE = pow(_POWER, -1, 1 << 64)
 #: So many chunks' anchors meet in one task at most; with more, those of a hash are first sifted part by part.
 MEETING = 256
 _FOUND = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
-_ANCHOR = np.dtype([("m", "<u8"), ("c", "<u8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<u4"), ("inner", "?")])
+#: Least hash, digest of the context, document, start, bytes, and whether it may hold a window twice.
+_ANCHOR = np.dtype([("m", "<u8"), ("c", "<u8"), ("d", "<u8"), ("key", "<i8"), ("lo", "<i8"), ("size", "<u4"), ("inner", "?")])
 
 
-def _powers(base: int, n: int, held={}) -> np.ndarray:  # noqa: B006  a cache
-    if base not in held or len(held[base]) < n:
-        out = np.ones(max(n, 1 << 16), np.uint64)
-        out[1:] = np.uint64(base)
-        held[base] = np.multiply.accumulate(out)
-    return held[base][:n]
+def chunk_of(keys: np.ndarray, chunks: int) -> np.ndarray:
+    """pmod(hash(key), chunks) as Spark has it (32-bit Murmur3 of a long), so that ids in steps are dealt evenly."""
+    rotated = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    h = np.full(len(keys), 42, np.uint32)
+    for half in np.ascontiguousarray(keys.astype("<i8")).view("<u4").reshape(-1, 2).T:
+        k = rotated(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = rotated(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % chunks
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -64,38 +76,41 @@ def grams(raw: np.ndarray, gram: int) -> np.ndarray:
     return mix64(h)
 
 
-def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(least hash, hash of the bytes, start, size) of each context, and whether one may hold a window twice."""
+def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(least hash, start, size) of each context, and whether one may hold a window twice. ``salt`` orders grams anew."""
     if len(data) < length:
-        return *(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64)), False
-    raw = np.frombuffer(data, np.uint8)
+        return *(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64)), False
     width = length - gram + 1
-    g = grams(raw, gram)
+    g = grams(np.frombuffer(data, np.uint8), gram)
+    g = mix64(g + np.uint64(salt)) if salt else g
     m = _sliding(g, width, np.minimum)
     lo = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
     end = np.concatenate([lo[1:], [len(m)]]) - 1 + length
     pad = np.zeros(width - 1, np.uint64)
     chosen = np.count_nonzero(g == _sliding(np.concatenate([pad, m, pad]), width, np.maximum))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[raw] * _powers(_POWER, len(raw)), dtype=np.uint64)])
-    c = mix64((sums[end] - sums[lo]) * _powers(_INVERSE, len(raw))[lo] + (end - lo).astype(np.uint64) * _B)
-    return m[lo], c, lo, end - lo, chosen > len(lo)
+    return m[lo], lo, end - lo, chosen > len(lo)
+
+
+def anchors(key: int, data: bytes, length: int, gram: int) -> np.ndarray:
+    m, lo, size, inner = contexts(data, length, gram)
+    out = np.zeros(len(m), _ANCHOR)
+    digests = b"".join([blake2b(data[a : a + n], digest_size=16).digest() for a, n in zip(lo.tolist(), size.tolist(), strict=True)])
+    out["c"], out["d"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    out["m"], out["key"], out["lo"], out["size"], out["inner"] = m, key, lo, size, inner
+    return out
 
 
-def _pack(x: np.ndarray, again: bool = False) -> bytes:
-    """Columns one after the other, each in the least width; the first ones sorted as differences. Of the context's hash 56 bits stay, also when packed ``again``."""
+def _pack(x: np.ndarray) -> bytes:
+    """Columns one after the other, each in the least width; the first ones sorted as differences."""
     out = [len(x).to_bytes(4, "little")]
     for name in x.dtype.names:
         col = x[name]
-        if name == "m":
-            col = np.diff(col, prepend=np.uint64(0))
-            width = max(1, (int(col.max()).bit_length() + 7) // 8)
-        elif name == "c":
-            col, width = col if again else col >> np.uint64(8), 7
-        elif name == "inner":
+        if name == "inner":
             out.append(b"\x01" + col.tobytes())
             continue
-        else:
-            width = 8 if int(col.min()) < 0 else max(1, (int(col.max()).bit_length() + 7) // 8)
+        if name == "m":
+            col = np.diff(col, prepend=np.uint64(0))
+        width = 8 if int(col.min()) < 0 else max(1, (int(col.max()).bit_length() + 7) // 8)
         out.append(bytes([width]) + np.ascontiguousarray(col.astype("<i8" if col.dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes())
     return b"".join(out)
 
@@ -117,22 +132,29 @@ def _unpack(data: bytes) -> np.ndarray:
 def _scan(length: int, gram: int, buckets: int, parts: int):
     """Anchors of the documents, packed by hash; a part is a share of the documents."""
 
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(found)
+        part = int(chunk_of(rows["key"][:1], parts)[0])
+        bucket = (rows["m"] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((rows["m"], bucket))
+        rows, bucket = rows[order], bucket[order]
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(rows)]
+        return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a in edges[:-1]], pa.int64()), pa.array([part] * (len(edges) - 1), pa.int64()), pa.array([_pack(rows[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], schema=_FOUND)
+
     def run(batches):
+        found, held, enough = [], 0, min(HELD, PACKED * buckets)
         for batch in batches:
-            for part in cut(batch, batch.column(1), CHUNK_BYTES):
-                found = []
-                for key, data in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
-                    m, c, lo, size, inner = contexts(data, length, gram)
-                    own = np.zeros(len(m), _ANCHOR)
-                    own["m"], own["c"], own["key"], own["lo"], own["size"], own["inner"] = m, c, key, lo, size, inner
-                    found.append(own)
-                rows = np.concatenate(found)
-                if len(rows):
-                    rows = rows[np.argsort(rows["m"], kind="stable")]
-                    bucket = (rows["m"] % np.uint64(buckets)).astype(np.int64)
-                    rows, bucket = rows[(order := np.argsort(bucket, kind="stable"))], bucket[order]
-                    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(rows)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a in edges[:-1]], pa.int64()), pa.array([int(rows["key"][0]) % parts] * (len(edges) - 1), pa.int64()), pa.array([_pack(rows[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], schema=_FOUND)
+            for slice_ in cut(batch, batch.column(1)):
+                for key, data in zip(slice_.column(0).to_pylist(), as_bytes(slice_.column(1)), strict=True):
+                    own = anchors(key, data, length, gram)
+                    if len(own):
+                        found.append(own)
+                        held += len(own)
+                    if held >= enough:
+                        yield packed(found)
+                        found, held = [], 0
+        if found:
+            yield packed(found)
 
     return run
 
@@ -143,19 +165,19 @@ _SIFTED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("wanted", p
 def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors by hash, context and place; where a hash and where a context begins; and which anchors are the first of their context."""
     rows = np.concatenate([_unpack(x) for x in table.column("data").to_pylist()])
-    rows = rows[np.lexsort((rows["lo"], rows["key"], rows["c"], rows["m"]))]
+    rows = rows[np.lexsort((rows["lo"], rows["key"], rows["d"], rows["c"], rows["m"]))]
     new_group = np.concatenate([[True], rows["m"][1:] != rows["m"][:-1]])
-    new = new_group | np.concatenate([[True], rows["c"][1:] != rows["c"][:-1]])
+    new = new_group | np.concatenate([[True], (rows["c"][1:] != rows["c"][:-1]) | (rows["d"][1:] != rows["d"][:-1])])
     first = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
     return rows, new_group, new, (rows["key"] == first["key"]) & (rows["lo"] == first["lo"])
 
 
 def _by_chunk(rows: np.ndarray, chunks: int) -> list[tuple[int, bytes]]:
-    chunk = rows["key"] % chunks
+    chunk = chunk_of(rows["key"], chunks)
     order = np.lexsort((rows["m"], chunk))
     rows, chunk = rows[order], chunk[order]
     edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(rows)] if len(rows) else [0]
-    return [(int(chunk[a]), _pack(rows[a:b], again=True)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [(int(chunk[a]), _pack(rows[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _sift(chunks: int):
@@ -166,8 +188,8 @@ def _sift(chunks: int):
         bucket = table.column("bucket")[0].as_py()
         # Rows with the same place are one document's; one of them stands for all.
         stays = rows[original]
-        stays = stays[np.concatenate([[True], (stays[["m", "c", "key", "lo"]][1:] != stays[["m", "c", "key", "lo"]][:-1])])]
-        out = [(bucket, -1, True, _pack(stays, again=True))] + [(bucket, c, False, x) for c, x in _by_chunk(rows[~original], chunks)]
+        stays = stays[np.concatenate([[True], (stays[["m", "c", "d", "key", "lo"]][1:] != stays[["m", "c", "d", "key", "lo"]][:-1])])]
+        out = [(bucket, -1, True, _pack(stays))] + [(bucket, c, False, x) for c, x in _by_chunk(rows[~original], chunks)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SIFTED, strict=True)], schema=_SIFTED)
 
     return run
@@ -221,12 +243,8 @@ def repeated_windows(parts: list[bytes], keys: np.ndarray, los: np.ndarray, leng
     sizes = np.array(list(map(len, parts)))
     whole = offset + length <= sizes[owner]
     windows = np.lib.stride_tricks.sliding_window_view(text.astype(np.uint16), length) if total >= length else None
-    if total <= LARGE:
-        order = np.array(suffix_array(text.tolist()), np.int64)
-        order = order[whole[order]]
-    else:  # too many bytes to sort as a list
-        order = np.flatnonzero(whole)
-        order = order[np.lexsort(windows[order].T[::-1])] if len(order) <= 1 << 16 else order[np.argsort(_window_hashes(text, order, length), kind="stable")]
+    order = np.array(suffix_array(text.tolist()), np.int64)
+    order = order[whole[order]]
     if not len(order):
         return []
     same = np.zeros(len(order), bool)
@@ -242,11 +260,6 @@ def repeated_windows(parts: list[bytes], keys: np.ndarray, los: np.ndarray, leng
     return list(zip(owner[later].tolist(), offset[later].tolist(), strict=True))
 
 
-def _window_hashes(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(text) * _powers(_POWER, len(text)), dtype=np.uint64)])
-    return mix64((sums[at + length] - sums[at]) * _powers(_INVERSE, len(text))[at])
-
-
 def _recurring(parts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, start, end) of the stretches whose windows hold no gram that the parts have only once. No other window can be repeated."""
     sizes = np.array(list(map(len, parts)), np.int64)
@@ -272,53 +285,60 @@ def _recurring(parts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     return owner[a], a - first[owner[a]], b - first[owner[a]] + length
 
 
+def covered(m: np.ndarray, key: np.ndarray, lo: np.ndarray, data: list[bytes], length: int, gram: int, dealt: int = 0) -> Iterator[tuple[int, int, int]]:
+    """(key, start, size) of the repeated windows of parts of documents, hash by hash; equal windows have equal hashes ``m``."""
+    part, a, b = _recurring(data, length, gram)
+    m, key, lo = m[part], key[part], lo[part] + a
+    data = [data[i][x:y] for i, x, y in zip(part.tolist(), a.tolist(), b.tolist(), strict=True)]
+    # Equal stretches in order of their place: all but the first are copies.
+    seen: set[tuple[int, bytes]] = set()
+    distinct = []
+    for i in np.lexsort((lo, key, m)).tolist():
+        if (m[i], data[i]) in seen:
+            yield int(key[i]), int(lo[i]), len(data[i])
+        else:
+            seen.add((m[i], data[i]))
+            distinct.append(i)
+    start = 0
+    while start < len(distinct):
+        size, stop = 0, start
+        while stop < len(distinct):
+            end, more = stop, 0
+            while end < len(distinct) and m[distinct[end]] == m[distinct[stop]]:
+                more += len(data[distinct[end]]) + 1
+                end += 1
+            if size and size + more > SORTED:
+                break
+            size, stop = size + more, end
+        own = distinct[start:stop]
+        start = stop
+        if size > LARGE and dealt < DEALT:
+            finer = [(x, int(key[i]), int(lo[i]) + y, data[i][y : y + z]) for i in own for x, y, z in zip(*(c.tolist() for c in contexts(data[i], length, gram, dealt + 1)[:3]), strict=True)]
+            by, keys, los, pieces = zip(*finer, strict=True)
+            yield from covered(np.array(by, np.uint64), np.array(keys, np.int64), np.array(los, np.int64), list(pieces), length, gram, dealt + 1)
+            continue
+        found = sorted(repeated_windows([data[i] for i in own], key[own], lo[own], length))
+        # Consecutive windows of a stretch cover one range.
+        at = 0
+        while at < len(found):
+            end = at
+            while end + 1 < len(found) and found[end + 1] == (found[at][0], found[end][1] + 1):
+                end += 1
+            i = own[found[at][0]]
+            yield int(key[i]), int(lo[i]) + found[at][1], found[end][1] + length - found[at][1]
+            at = end + 1
+
+
 def _sort(length: int, gram: int, chunks: int):
-    """Suffix-sorts the contexts of a bucket, hash by hash; the repeated windows as covered ranges."""
+    """Suffix-sorts the contexts of a bucket; the repeated windows as covered ranges."""
 
     def run(table: pa.Table) -> pa.Table:
         m, key, lo = (np.asarray(table.column(k).combine_chunks()) for k in ("m", "key", "lo"))
-        data = table.column("bytes").to_pylist()
-        part, a, b = _recurring(data, length, gram)
-        m, key, lo = m[part], key[part], lo[part] + a
-        data = [data[i][x:y] for i, x, y in zip(part.tolist(), a.tolist(), b.tolist(), strict=True)]
-        # Equal stretches in order of their place: all but the first are copies.
-        order = np.lexsort((lo, key, m)).tolist()
-        covers: list[tuple[int, int, int]] = []
-        seen: set[tuple[int, bytes]] = set()
-        distinct = []
-        for i in order:
-            if (m[i], data[i]) in seen:
-                covers.append((i, 0, len(data[i])))
-            else:
-                seen.add((m[i], data[i]))
-                distinct.append(i)
-        start = 0
-        while start < len(distinct):
-            size, stop = 0, start
-            while stop < len(distinct):
-                end, more = stop, 0
-                while end < len(distinct) and m[distinct[end]] == m[distinct[stop]]:
-                    more += len(data[distinct[end]]) + 1
-                    end += 1
-                if size and size + more > SORTED:
-                    break
-                size, stop = size + more, end
-            own = distinct[start:stop]
-            found = sorted(repeated_windows([data[i] for i in own], key[own], lo[own], length))
-            # Consecutive windows of a stretch cover one range.
-            at = 0
-            while at < len(found):
-                end = at
-                while end + 1 < len(found) and found[end + 1] == (found[at][0], found[end][1] + 1):
-                    end += 1
-                covers.append((own[found[at][0]], found[at][1], found[end][1] + length))
-                at = end + 1
-            start = stop
+        covers = list(covered(m, key, lo, table.column("bytes").to_pylist(), length, gram))
         if not covers:
             return _JUDGED.empty_table()
-        who, x, y = (np.array(c) for c in zip(*covers, strict=True))
-        rows = np.zeros(len(who), _ANCHOR)
-        rows["key"], rows["lo"], rows["size"] = key[who], lo[who] + x, y - x
+        rows = np.zeros(len(covers), _ANCHOR)
+        rows["key"], rows["lo"], rows["size"] = zip(*covers, strict=True)
         out = [(c, False, x) for c, x in _by_chunk(rows, chunks)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _JUDGED, strict=True)], schema=_JUDGED)
 
@@ -379,15 +399,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     rows = _keyed(docs, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(LEAST_CHUNKS, -(-size // chunk_bytes))
-    parts = -(-chunks // MEETING)
-    found = rows.select("key", "text").mapInArrow(_scan(length, gram, chunks, parts), "bucket long, part long, data binary")
+    buckets, parts = max(LEAST_CHUNKS, chunks // BUCKET_CHUNKS), -(-chunks // MEETING)
+    found = rows.select("key", "text").mapInArrow(_scan(length, gram, buckets, parts), "bucket long, part long, data binary")
     copies = None
     if parts > 1:
         sifted = materialize(found.groupBy("bucket", "part").applyInArrow(_sift(chunks), "bucket long, chunk long, wanted boolean, data binary"), "sifted")
         found, copies = sifted.filter("wanted").select("bucket", "data"), sifted.filter("not wanted").select("chunk", "wanted", "data")
     judged = materialize(found.groupBy("bucket").applyInArrow(_judge(chunks), "chunk long, wanted boolean, data binary"), "judged")
-    dealt = rows.select(F.pmod(F.col("key"), F.lit(chunks)).alias("chunk"), "key", "doc_id", "text")
-    taken = dealt.groupBy("chunk").cogroup(judged.filter("wanted").groupBy("chunk")).applyInArrow(_fetch(chunks), "bucket long, m long, key long, lo long, bytes binary")
+    dealt = rows.select(F.pmod(F.hash("key"), F.lit(chunks)).cast("long").alias("chunk"), "key", "doc_id", "text")
+    taken = dealt.groupBy("chunk").cogroup(judged.filter("wanted").groupBy("chunk")).applyInArrow(_fetch(buckets), "bucket long, m long, key long, lo long, bytes binary")
     sorted_ = taken.groupBy("bucket").applyInArrow(_sort(length, gram, chunks), "chunk long, wanted boolean, data binary")
     covers = judged.filter("not wanted").unionByName(sorted_)
     covers = covers if copies is None else covers.unionByName(copies)
