@@ -31,7 +31,8 @@ def brute(rows, order, mu):
             c = counts[1][w,]
             return (c - lm.DISCOUNT) / total if c else lm.DISCOUNT * types / total
         c_history = begins if history == ("<",) else counts[len(history)][history]
-        return (counts[len(history) + 1][(*history, w)] + mu * p(history[1:], w)) / (c_history + mu)
+        m = mu[len(history) - 1]
+        return (counts[len(history) + 1][(*history, w)] + m * p(history[1:], w)) / (c_history + m)
 
     out = []
     for _, text in rows:
@@ -42,10 +43,10 @@ def brute(rows, order, mu):
     return out, p, counts, begins
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_scores_are_those_of_brute_force(spark, odd, odd_rows, order):
-    got = lm.score(odd, crc_mod("doc_id", 7) != 2, order=order, mu=20.0).collect()
-    want, *_ = brute([r[:2] for r in odd_rows], order, 20.0)
+@pytest.mark.parametrize(("order", "mu"), [(2, (20.0,)), (3, lm.MU), (4, (30.0, 5.0, 0.5))])
+def test_scores_are_those_of_brute_force(spark, odd, odd_rows, order, mu):
+    got = lm.score(odd, crc_mod("doc_id", 7) != 2, order=order, mu=mu).collect()
+    want, *_ = brute([r[:2] for r in odd_rows], order, mu)
     key = lambda r: (r[0], r[1], round(r[3], 4), round(r[4], 4))
     got = sorted(((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=key)
     for a, b in zip(got, sorted(want, key=key), strict=True):
@@ -54,9 +55,9 @@ def test_scores_are_those_of_brute_force(spark, odd, odd_rows, order):
 
 def test_probabilities_sum_to_one():
     rows = [(i, t) for i, t in enumerate(["a b a c", "a b", "b b c", "c"])]
-    _, p, counts, _ = brute(rows, 2, 5.0)
+    _, p, counts, _ = brute(rows, 3, (5.0, 2.0))
     vocabulary = [k[0] for k in counts[1]] + ["an unknown word"]
-    for history in [(), ("<",), (b"a",), (b"b",), ("never seen",)]:
+    for history in [(), ("<",), (b"a",), (b"b",), ("never seen",), ("<", b"a"), (b"b", b"b"), (b"a", "never seen")]:
         assert abs(sum(p(history, w) for w in vocabulary) - 1) < 1e-12
 
 
@@ -70,9 +71,24 @@ def test_nothing_to_learn_from(odd, empty):
     assert {r["score"] for r in lm.score(odd, F.lit(False)).collect()} == {0.0}
 
 
+def test_scores_on_documents(spark):
+    """Production parameters, and equal answers however texts are dealt."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want, *_ = brute(rows, lm.ORDER, lm.MU)
+    for chunk_bytes in (lm.CHUNK_BYTES, 3000):
+        got = {r["doc_id"]: r for r in lm.score(frame, crc_mod("doc_id", 7) != 2, chunk_bytes=chunk_bytes).collect()}
+        for (d, _), (n_tokens, n_known, total, base, score) in zip(rows, want, strict=True):
+            r = got[d]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n_tokens, n_known, total) and np.allclose((r["base_score"], r["score"]), (base, score), rtol=1e-9)
+
+
 def test_keys_and_counts_survive_packing():
-    keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64))
-    for some in (keys, keys[:1], keys[:3], np.arange(7, dtype=np.uint64)):
-        assert (lm.unpack_keys(lm.pack_keys(some)) == some).all()
+    for bits in (64, 51, 40, 33):
+        keys = np.unique(np.random.default_rng(0).integers(0, 2**bits, 5000, dtype=np.uint64))
+        for some in (keys, keys[:1], keys[:3], np.arange(7, dtype=np.uint64), keys[-1:]):
+            assert (lm.unpack_keys(lm.pack_keys(some, bits)) == some).all()
+        assert len(lm.pack_keys(keys, bits)) < len(keys) * (bits - 9) / 8
     for counts in ([0, 1], [300], [70_000, 2], [2**40]):
         assert lm.unpack_counts(lm.pack_counts(np.array(counts))).tolist() == counts
