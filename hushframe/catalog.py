@@ -132,11 +132,11 @@ CATALOG: dict[str, tuple[str, str, str | None]] = {
     "anon_subquery": ("quiet", "SELECT t.seg || '!' AS seg, t.n * 2 AS n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1) t", "SELECT seg || '!' AS seg, n * 2 AS n FROM (" + _anon("customer", {"seg": "c_mktsegment"}, "c_custkey", _COUNT) + ")"),
     "bucket_expansion": ("quiet", "SELECT c_mktsegment FROM customer WHERE c_nationkey = 3", f"SELECT c_mktsegment FROM ({_anon('customer WHERE c_nationkey = 3', _SEG, 'c_custkey', _COUNT)}), unnest(range(n)) AS u(i)"),
     "bucket_expansion_whole": ("quiet", "SELECT c_mktsegment FROM customer", f"SELECT c_mktsegment FROM ({_anon('customer', _SEG, 'c_custkey', _COUNT)}), unnest(range(n)) AS u(i)"),
-    "low_count": ("level_direct", "SELECT c_nationkey AS nation, c_mktsegment AS seg, floor_by(c_acctbal, 1000.0) AS step, diffix_low_count(c_custkey) AS low FROM customer GROUP BY 1, 2, 3", "SELECT CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS seg, floor(c_acctbal / 1000.0) * 1000.0 AS step, count(DISTINCT c_custkey) < 2 AS low FROM customer GROUP BY ALL"),
-    "diffix_count": ("direct", "SELECT diffix_count(DISTINCT o_orderstatus, o_custkey) AS d FROM orders", "SELECT count(DISTINCT o_orderstatus) AS d FROM orders"),
-    "diffix_sum": ("level_direct", "SELECT o_orderstatus AS st, diffix_low_count(o_custkey) AS low, diffix_sum(o_totalprice, o_custkey) AS s, diffix_count(*, o_custkey) AS n, diffix_sum_noise(o_totalprice, o_custkey) AS sn, diffix_count_noise(*, o_custkey) AS cn FROM orders GROUP BY 1", _anon("orders", {"st": "o_orderstatus"}, "o_custkey", f"entities < 2 AS low, {_SUM}, {_COUNT}, 0.0::DOUBLE AS sn, 0.0::DOUBLE AS cn", "o_totalprice", having="true")),
-    "diffix_avg": ("level_direct", "SELECT c_nationkey AS nation, diffix_low_count(c_custkey) AS low, diffix_avg(c_acctbal, c_custkey) AS a, diffix_avg_noise(c_acctbal, c_custkey) AS an FROM customer GROUP BY 1", _anon("customer", {"nation": "CAST(c_nationkey AS BIGINT)"}, "c_custkey", "entities < 2 AS low, round((coalesce(p, 0) - coalesce(q, 0)) / greatest(round(m), 2), 4) AS a, 0.0::DOUBLE AS an", "c_acctbal", having="true")),
-    "diffix_histogram": ("level_direct", "SELECT diffix_count_histogram(0, 5, o_custkey) AS h FROM orders", "WITH c AS (SELECT count(*) // 5 * 5 AS bin FROM orders GROUP BY o_custkey), g AS (SELECT bin, count(*) AS n FROM c GROUP BY 1), m AS (SELECT bin, n FROM g WHERE n >= 2 UNION ALL SELECT NULL, sum(n)::BIGINT FROM g WHERE n < 2 HAVING sum(n) >= 2) SELECT CAST(to_json(list([bin, n] ORDER BY bin NULLS FIRST)) AS VARCHAR) AS h FROM m"),
+    "low_count": ("level_direct", "SELECT c_nationkey AS nation, c_mktsegment AS seg, floor_by(c_acctbal, 1000.0) AS step, anon_low_count(c_custkey) AS low FROM customer GROUP BY 1, 2, 3", "SELECT CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS seg, floor(c_acctbal / 1000.0) * 1000.0 AS step, count(DISTINCT c_custkey) < 2 AS low FROM customer GROUP BY ALL"),
+    "explicit_count_distinct": ("direct", "SELECT anon_count(DISTINCT o_orderstatus, o_custkey) AS d FROM orders", "SELECT count(DISTINCT o_orderstatus) AS d FROM orders"),
+    "explicit_sum": ("level_direct", "SELECT o_orderstatus AS st, anon_low_count(o_custkey) AS low, anon_sum(o_totalprice, o_custkey) AS s, anon_count(*, o_custkey) AS n, anon_sum_noise(o_totalprice, o_custkey) AS sn, anon_count_noise(*, o_custkey) AS cn FROM orders GROUP BY 1", _anon("orders", {"st": "o_orderstatus"}, "o_custkey", f"entities < 2 AS low, {_SUM}, {_COUNT}, 0.0::DOUBLE AS sn, 0.0::DOUBLE AS cn", "o_totalprice", having="true")),
+    "explicit_avg": ("level_direct", "SELECT c_nationkey AS nation, anon_low_count(c_custkey) AS low, anon_avg(c_acctbal, c_custkey) AS a, anon_avg_noise(c_acctbal, c_custkey) AS an FROM customer GROUP BY 1", _anon("customer", {"nation": "CAST(c_nationkey AS BIGINT)"}, "c_custkey", "entities < 2 AS low, round((coalesce(p, 0) - coalesce(q, 0)) / greatest(round(m), 2), 4) AS a, 0.0::DOUBLE AS an", "c_acctbal", having="true")),
+    "explicit_histogram": ("level_direct", "SELECT anon_count_histogram(0, 5, o_custkey) AS h FROM orders", "WITH c AS (SELECT count(*) // 5 * 5 AS bin FROM orders GROUP BY o_custkey), g AS (SELECT bin, count(*) AS n FROM c GROUP BY 1), m AS (SELECT bin, n FROM g WHERE n >= 2 UNION ALL SELECT NULL, sum(n)::BIGINT FROM g WHERE n < 2 HAVING sum(n) >= 2) SELECT CAST(to_json(list([bin, n] ORDER BY bin NULLS FIRST)) AS VARCHAR) AS h FROM m"),
     "anon_avg_noise": ("quiet", "SELECT c_mktsegment, avg_noise(c_acctbal) AS an FROM customer GROUP BY 1", "SELECT c_mktsegment, 0.0::DOUBLE AS an FROM customer GROUP BY 1"),
     "anon_having_order_limit": ("quiet", "SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 55 ORDER BY 2 DESC, 1 LIMIT 5", f"SELECT nation, n FROM ({_anon('customer', {'nation': 'CAST(c_nationkey AS BIGINT)'}, 'c_custkey', _COUNT)}) WHERE n > 55 ORDER BY n DESC, nation LIMIT 5"),
     "anon_text_label": ("quiet", "SELECT substring(c_name, 1, 15) AS part, count(*) AS n FROM customer GROUP BY 1", _anon("customer", {"part": "substring(c_name, 1, 15)"}, "c_custkey", _COUNT)),

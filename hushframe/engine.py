@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hushframe import log
 from hushframe.functions import scalar
 from hushframe.operators import hooks as hook_functions
 from hushframe.operators.anonymize import Agg, Aid, Context, anonymize, join_keys
@@ -16,8 +18,17 @@ from hushframe.params import AccessLevel, Params
 from hushframe.plans import analyzer as an
 from hushframe.plans import parser as ast
 from hushframe.plans.parser import SqlError
+from hushframe.plans.tree import rewrite, walk
 
-Table = DataFrame | Callable[[], DataFrame]
+class Source(Protocol):
+    """A table that is loaded with just the columns a query names."""
+
+    columns: list[str]
+
+    def load(self, columns: list[str]) -> DataFrame: ...
+
+
+Table = DataFrame | Callable[[], DataFrame] | Source
 
 
 def kind_of(t: T.DataType) -> str:
@@ -42,34 +53,59 @@ class Scope:
 
 
 class Engine:
-    """``tables``: DataFrames, or functions that make them, by name. ``hooks``: steps between grouping and finalizing."""
+    """``tables``: DataFrames, functions that make them, or sources, by name; without any, no table is found. ``hooks``: steps between grouping and
+    finalizing. ``explicit``: what the names of aggregates over entities given in the query begin with (``anon_count(*, id)``)."""
 
-    def __init__(self, spark: SparkSession, params: Params | None = None, tables: dict[str, Table] | None = None, hooks=()):
-        self.spark, self.params, self.hooks = spark, params or Params(), tuple(hooks)
+    def __init__(self, spark: SparkSession, params: Params | None = None, tables: dict[str, Table] | None = None, hooks=(), explicit: str = scalar.EXPLICIT):
+        self.spark, self.params, self.hooks, self.explicit = spark, params or Params(), tuple(hooks), explicit
         self.tables = dict(tables or {})
 
     def register(self, name: str, table: Table) -> None:
         self.tables[name] = table
 
     def sql(self, text: str) -> DataFrame:
-        df, names, _ = self._query(ast.parse(text))
+        df, names, _ = self._planned(text)
         return df.toDF(*names)
 
+    def columns(self, text: str) -> list[tuple[str, str]]:
+        """Names and types of what a query returns."""
+        _, names, kinds = self._planned(text)
+        return list(zip(names, kinds, strict=True))
+
+    def _planned(self, text: str) -> tuple[DataFrame, list[str], list[str]]:
+        log.debug(f"Query: {text}")
+        query = ast.parse(text)
+        if self.explicit != scalar.EXPLICIT:
+            query = rewrite(query, lambda n: replace(n, fn=scalar.EXPLICIT + n.fn.removeprefix(self.explicit)) if isinstance(n, ast.Call) and n.fn.startswith(self.explicit) else n)
+        return self._query(query)
+
     def explain(self, text: str, mode: str = "formatted") -> str:
         df = self.sql(text)
         return self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
     # Sources
 
-    def _table(self, name: str) -> DataFrame:
+    def _table(self, name: str, used: set[str] | None) -> DataFrame:
+        """``used``: names of columns in lower case, or None for all."""
         for known, table in self.tables.items():
             if known.lower() == name.lower():
+                if hasattr(table, "load"):
+                    wanted = None if used is None else used | {a.lower() for a in self.params.aids_of(name)}
+                    return table.load([c for c in table.columns if wanted is None or c.lower() in wanted])
                 return table() if callable(table) else table
         raise SqlError(f"Could not find table `{name}`.")
 
-    def _scope(self, source, at: list[int]) -> Scope:
+    @staticmethod
+    def _used(q: ast.Select) -> set[str] | None:
+        """Names of the columns that a query refers to, without those inside its subqueries; None for all."""
+        nodes = walk(q, lambda n: not isinstance(n, ast.SubQuery))
+        if any(isinstance(i.expr, ast.Star) for i in q.items):
+            return None
+        return {n.column.lower() for n in nodes if isinstance(n, ast.Name)}
+
+    def _scope(self, source, at: list[int], used: set[str] | None) -> Scope:
         if isinstance(source, ast.Join):
-            left, right = self._scope(source.left, at), self._scope(source.right, at)
+            left, right = self._scope(source.left, at, used), self._scope(source.right, at, used)
             columns = left.columns + right.columns
             if {c.range.lower() for c in left.columns} & {c.range.lower() for c in right.columns}:
                 raise SqlError("Ambiguous target names in `FROM` clause.")
@@ -81,7 +117,7 @@ class Engine:
             df, names, kinds = self._query(source.query)
             alias, aids = source.alias, ()
         else:
-            df = self._table(source.name)
+            df = self._table(source.name, used)
             names, kinds = df.columns, [kind_of(f.dataType) for f in df.schema.fields]
             alias, aids = source.alias, [a.lower() for a in self.params.aids_of(source.name)]
         columns, selected = [], []
@@ -117,7 +153,7 @@ class Engine:
 
     def _query(self, q: ast.Select) -> tuple[DataFrame, list[str], list[str]]:
         """The plan under columns o0, o1, ..., their names and types."""
-        scope = self._scope(q.source, [0])
+        scope = self._scope(q.source, [0], self._used(q))
         items: list[tuple[str, object]] = []
         for item in q.items:
             if isinstance(item.expr, ast.Star):
@@ -202,14 +238,14 @@ class Engine:
         keys = {f"k{i}": self._column(g) for i, g in enumerate(groups)}
         known = {g: F.col(f"k{i}") for i, g in enumerate(groups)}
         names = list(keys)
-        plain = [a for a in found if not a.fn.startswith("diffix_")]
+        noisy = [a for a in found if a.fn.startswith(scalar.EXPLICIT)]
+        plain = [a for a in found if a not in noisy]
         if anonymizing:
             return self._anonymized(df, keys, groups, found, where, [an.Ref(c) for c in aids], known, expand, hide=True)
         out = None
-        noisy = [a for a in found if a.fn.startswith("diffix_")]
-        for entities in dict.fromkeys(self._entities(a) for a in noisy):
+        for place, entities in enumerate(dict.fromkeys(self._entities(a) for a in noisy)):
             own = [a for a in noisy if self._entities(a) == entities]
-            part, known = self._anonymized(df, keys, groups, own, where, list(entities), known, False, hide=False)
+            part, known = self._anonymized(df, keys, groups, own, where, list(entities), known, False, hide=False, place=place)
             out = part if out is None else join_keys(out, part, names)
         if plain or out is None:
             part, known = self._plain(df, keys, plain, known)
@@ -218,7 +254,7 @@ class Engine:
 
     @staticmethod
     def _entities(a: an.Call) -> tuple:
-        skip = {"diffix_low_count": 0, "diffix_count_histogram": 2}.get(a.fn, 1)
+        skip = {"low_count": 0, "count_histogram": 2}.get(a.fn.removeprefix(scalar.EXPLICIT), 1)
         return tuple(a.args[skip:])
 
     def _plain(self, df: DataFrame, keys: dict[str, Column], found: list[an.Call], known: dict):
@@ -248,23 +284,24 @@ class Engine:
             out = join_keys(out, part, names, "left")
         return out, known
 
-    def _anonymized(self, df: DataFrame, keys: dict[str, Column], groups: list, found: list[an.Call], where, entities: list, known: dict, expand: bool, hide: bool):
+    def _anonymized(self, df: DataFrame, keys: dict[str, Column], groups: list, found: list[an.Call], where, entities: list, known: dict, expand: bool, hide: bool, place: int = 0):
+        """``place``: of these entities among those of the query; it names the columns."""
         aids = [Aid(self._column(e), e.kind == "integer") for e in entities]
         aggs: dict[str, Agg] = {}
-        tag = f"d{abs(hash(tuple(entities))) % 10**8}_"
+        tag = f"d{place}_"
         low = f"{tag}low"
         for a in found:
-            fn = a.fn.removeprefix("diffix_")
+            fn = a.fn.removeprefix(scalar.EXPLICIT)
             base, noise = fn.removesuffix("_noise"), fn.endswith("_noise")
             if fn == "low_count":
                 known = known | {a: F.col(low)}
                 continue
             if base == "count_histogram":
                 if hide:
-                    place, size = entities.index(a.args[0]), a.args[1].value if len(a.args) > 1 else 1
+                    aid, size = entities.index(a.args[0]), a.args[1].value if len(a.args) > 1 else 1
                 else:
-                    place, size = a.args[0].value, a.args[1].value
-                agg = Agg("histogram", aid=place, bin=size)
+                    aid, size = a.args[0].value, a.args[1].value
+                agg = Agg("histogram", aid=aid, bin=size)
             else:
                 arg = a.args[0] if a.args else None
                 column = self._column(arg) if arg is not None else None

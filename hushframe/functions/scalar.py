@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushframe.functions.text import real_column
+
 SPARK_TYPE = {"boolean": "boolean", "integer": "bigint", "real": "double", "text": "string", "timestamp": "timestamp_ntz"}
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 
@@ -19,7 +21,9 @@ PARTS = {
     "millennium": "millennium", "millenniums": "millennium", "millennia": "millennium", "epoch": "epoch", "dow": "dow", "doy": "doy", "isodow": "isodow", "isoyear": "isoyear",
 }
 
-AGGREGATES = {"count", "count_noise", "sum", "sum_noise", "avg", "avg_noise", "count_histogram", "diffix_low_count", "diffix_count", "diffix_count_noise", "diffix_sum", "diffix_sum_noise", "diffix_avg", "diffix_avg_noise", "diffix_count_histogram"}
+#: What the names of aggregates over entities that the query itself gives begin with.
+EXPLICIT = "anon_"
+AGGREGATES = {"count", "count_noise", "sum", "sum_noise", "avg", "avg_noise", "count_histogram"} | {EXPLICIT + n for n in ("low_count", "count", "count_noise", "sum", "sum_noise", "avg", "avg_noise", "count_histogram")}
 FUNCTIONS = {"+", "-", "*", "/", "%", "=", "<", "<=", ">", ">=", "and", "or", "not", "is_null", "||", "abs", "round", "floor", "ceil", "ceiling", "round_by", "floor_by", "ceil_by", "width_bucket", "length", "lower", "upper", "substring", "cast", "nullif", "date_trunc", "extract"}
 
 
@@ -79,7 +83,7 @@ def cast(x: Column, source: str, target: str) -> Column:
     if target == "text" and source == "timestamp":
         return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
     if target == "text" and source == "real":
-        return F.regexp_replace(x.cast("string"), r"\.0$", "")
+        return real_column(x)
     if (source, target) in (("text", "timestamp"), ("integer", "real"), ("integer", "boolean"), ("integer", "text"), ("boolean", "text"), ("boolean", "integer"), ("boolean", "real"), ("null", target)):
         return x.cast(SPARK_TYPE[target])
     raise TypeMismatch(f"A value of type {source} can't be cast to {target}.")

@@ -4,7 +4,8 @@ Every row contributes, for each of its entities (AID instances), to some legs: `
 count, two for each sum (positive and negative amounts), one for each distinct count. All legs are one long table (keys, aid,
 leg, entity hash, amount), summed per entity before anything else. Per (keys, aid, leg) follow counts, totals and the xor of the
 hashes, and the largest few entities from a row_number that Spark limits before it shuffles. The rest is arithmetic on arrays of at most
-``outlier_count.upper + top_count.upper`` entries. No Python runs but for the order-dependent part of distinct counts.
+``outlier_count.upper + top_count.upper`` entries. No Python runs but for the order-dependent part of distinct counts: rare values that several
+entities show, dealt out separately for each connected part of values and entities.
 """
 
 from __future__ import annotations
@@ -16,10 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import hashing as H
+from hushframe.functions.text import real_column
+from hushframe.operators.components import components
 from hushframe.params import Params
 from hushframe.storage import materialize
 
 ROWS = -1
+#: Contested values of a bucket are dealt to entities in one task up to so many pairs of both; beyond, what is connected stays together.
+WHOLE = 200_000
 #: A key of its own for the bucket that collects suppressed ones.
 STAR = "star"
 
@@ -78,7 +83,7 @@ def label_text(column: Column, kind: str) -> Column:
     elif kind.startswith("timestamp"):
         text = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
     elif kind in ("double", "float"):
-        text = F.regexp_replace(column.cast("string"), r"\.0$", "")
+        text = real_column(column.cast("double"))
     else:
         text = column.cast("string")
     return F.when(column.isNull(), F.lit("NULL")).otherwise(text)
@@ -272,6 +277,19 @@ def _distinct_values(p: Prepared, i: int, aids: list[bool]) -> DataFrame:
     return hashed(rows.distinct(), aids)
 
 
+def _parts(contested: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``part``: values and entities that are connected are in one, as only these compete. Small buckets stay whole."""
+    by = [*keys, "aid"]
+    largest = contested.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= WHOLE:
+        return contested.withColumn("part", F.lit(0).cast("long"))
+    name = lambda *columns: F.xxhash64(*columns, *by)
+    named = contested.withColumns({"entity": name(F.lit("e"), F.col("hi"), F.col("lo")), "value": name(F.lit("v"), F.col("v"))})
+    labels = components(named.filter("n > 1").select(F.col("entity").alias("u"), F.col("value").alias("v"))).withColumnRenamed("node", "entity")
+    part = F.pmod(F.xxhash64(F.coalesce("label", "entity")), F.lit(4 * -(-largest // max(WHOLE, 1))))
+    return named.join(labels, "entity", "left").withColumn("part", part).drop("entity", "value", "label")
+
+
 def count_distinct(p: Prepared, i: int, leg: int, aids: list[bool]) -> tuple[DataFrame, DataFrame]:
     """Values shown by enough entities, as (keys, safe<i>); contributions (keys, aid, leg, h, amount) of the others, each value given to one entity."""
     rows = _distinct_values(p, i, aids)
@@ -280,6 +298,12 @@ def count_distinct(p: Prepared, i: int, leg: int, aids: list[bool]) -> tuple[Dat
     verdict = sets.groupBy(*by).agg(F.bool_or(threshold(p.context.params, F.col("n"), F.col("xor"))).alias("low_value"))
     safe = verdict.groupBy(*p.keys).agg(F.count_if(~F.col("low_value")).alias(f"safe{i}")) if p.keys else verdict.agg(F.count_if(~F.col("low_value")).alias(f"safe{i}"))
     low = join_keys(rows.filter("h is not null"), verdict.filter("low_value").drop("low_value"), by)
+    low = join_keys(low, sets.select(*by, "aid", "n"), [*by, "aid"]).select(*p.keys, "aid", F.col("h.hi").alias("hi"), F.col("h.lo").alias("lo"), "v", "n")
+    mine = [*p.keys, "aid", "hi", "lo"]
+    low = materialize(low.withColumn("contested", F.max("n").over(Window.partitionBy(*mine)) > 1), "rare")
+    # Who shares no value with others keeps all of them.
+    free = low.filter("not contested").groupBy(*mine).agg(F.count(F.lit(1)).cast("double").alias("amount"))
+    contested = _parts(low.filter("contested").drop("contested"), p.keys)
     names = list(p.keys)
     fields = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in names)
 
@@ -307,9 +331,8 @@ def count_distinct(p: Prepared, i: int, leg: int, aids: list[bool]) -> tuple[Dat
         first = group.iloc[0]
         return pd.DataFrame({**{k: [first[k]] * len(taken) for k in names}, "aid": first["aid"], "hi": [e[0] for e in taken], "lo": [e[1] for e in taken], "amount": [float(n) for n in taken.values()]})
 
-    grouped = low.select(*p.keys, "aid", F.col("h.hi").alias("hi"), F.col("h.lo").alias("lo"), "v").groupBy(*p.keys, "aid")
-    shared = grouped.applyInPandas(share, ", ".join(filter(None, [fields, "aid int, hi long, lo long, amount double"])))
-    return safe, shared.select(*p.keys, "aid", F.lit(leg).alias("leg"), "amount", F.struct("hi", "lo").alias("h"))
+    shared = contested.groupBy(*p.keys, "aid", "part").applyInPandas(share, ", ".join(filter(None, [fields, "aid int, hi long, lo long, amount double"])))
+    return safe, shared.unionByName(free).select(*p.keys, "aid", F.lit(leg).alias("leg"), "amount", F.struct("hi", "lo").alias("h"))
 
 
 def histogram(p: Prepared, i: int, agg: Agg, aids: list[bool]) -> DataFrame:

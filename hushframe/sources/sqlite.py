@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 from contextlib import closing
 
@@ -9,7 +10,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Declared column types and what they are read as; others are text.
 KINDS = {"integer": "bigint", "text": "string", "boolean": "boolean", "real": "double"}
-ROWS_PER_PARTITION = 1_000_000
+#: Row ids of a partition at least, and partitions at most: what the driver plans does not grow with the largest row id.
+ROWS_PER_PARTITION, MOST_PARTITIONS = 1_000_000, 1024
 
 
 def quoted(name: str) -> str:
@@ -47,7 +49,8 @@ class Reader(DataSourceReader):
                 return [Rows(None, None)]
         if low is None:
             return [Rows(1, 0)]
-        return [Rows(a, min(a + ROWS_PER_PARTITION - 1, high)) for a in range(low, high + 1, ROWS_PER_PARTITION)]
+        step = max(ROWS_PER_PARTITION, -(-(high - low + 1) // MOST_PARTITIONS))
+        return [Rows(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
     def read(self, partition):
         where = "" if partition.first is None else f" WHERE rowid BETWEEN {partition.first} AND {partition.last}"
@@ -59,7 +62,7 @@ class Reader(DataSourceReader):
 
 
 class Sqlite(DataSource):
-    """``spark.read.format("sqlite").option("table", ...).load(path)``; the path must be one that all executors see."""
+    """``spark.read.format("sqlite").option("table", ...).load(path)``; the path must be one that all executors see. ``columns``: a JSON list of those to read."""
 
     @classmethod
     def name(cls) -> str:
@@ -68,10 +71,10 @@ class Sqlite(DataSource):
     def _fields(self) -> list[tuple[str, str]]:
         wanted = self.options.get("columns")
         every = columns(self.options["path"], self.options["table"])
-        return every if wanted is None else [f for f in every if f[0].lower() in wanted.lower().split(",")]
+        return every if wanted is None else [f for f in every if f[0] in json.loads(wanted)]
 
     def schema(self) -> str:
-        return ", ".join(f"`{n}` {k}" for n, k in self._fields())
+        return ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in self._fields())
 
     def reader(self, schema) -> DataSourceReader:
         return Reader(self.options["path"], self.options["table"], self._fields())

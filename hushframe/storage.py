@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir. Where none is set a run on one machine gets a temporary one; others are refused, as their machines would not share it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hushframe-"))
     return context.getCheckpointDir().get().rstrip("/")
 

@@ -128,3 +128,54 @@ def test_buckets(spark, params, n_aids, integer):
         is_low, count, total = expected(params, [(x[1 : 1 + n_aids], x[-1]) for x in rows if x[0] == k], seed, n_aids, integer)
         assert (r["low"], r["n"]) == (is_low, count)
         assert r["s"] == total if integer or total is None else abs(r["s"] - total) < 1e-6
+
+
+def dealt(p, rows, aid):
+    """(number of safe values, amount for each entity) of a bucket, one value after the other."""
+    shown = defaultdict(lambda: [set(), set()])
+    for aids, v in rows:
+        if v is not None and any(a is not None for a in aids):
+            for i, a in enumerate(aids):
+                shown[v][i] |= {entity(a)} if a is not None else set()
+    rare = [v for v, sets in shown.items() if low(p, sets[: len(rows[0][0])])]
+    stacks = defaultdict(list)
+    for v in sorted(rare):
+        for a in shown[v][aid]:
+            stacks[a].append(v)
+    queue, used, got = sorted(stacks.items(), key=lambda e: (len(e[1]), e[0])), set(), defaultdict(int)
+    while any(s for _, s in queue):
+        for a, s in queue:
+            while s:
+                v = s.pop()
+                if v not in used:
+                    used.add(v)
+                    got[a] += 1
+                    break
+    return len(shown) - len(rare), got
+
+
+@pytest.mark.parametrize("whole", [200_000, 0])
+@pytest.mark.parametrize("params", PARAMS)
+@pytest.mark.parametrize("n_aids", [1, 2])
+def test_rare_distinct_values(spark, monkeypatch, params, n_aids, whole):
+    """Values of few entities, some contested, some in several connected parts; all of them counted by entity, flattened and noised."""
+    from hushframe.operators import anonymize as module
+
+    monkeypatch.setattr(module, "WHOLE", whole)
+    rng = random.Random(n_aids)
+    rows = []
+    for k in ("a", None):
+        for i in range(150):
+            who = [None if rng.random() < 0.05 else rng.randint(1, 25), None if rng.random() < 0.1 else rng.choice("pqrstuvwxyz")][:n_aids]
+            rows.append((k, *who, None if i % 20 == 0 else rng.choice([f"own{i}", f"pair{i % 40}", f"few{i % 15}", "all", "most"])))
+    df = spark.createDataFrame(rows, ", ".join([*["k string", "a0 long", "a1 string"][: n_aids + 1], "x string"])).repartition(3)
+    aids = [Aid(F.col("a0"), True), Aid(F.col("a1"), False)][:n_aids]
+    got = {r["k"]: r["n"] for r in anonymize(df, {"k": F.col("k")}, aids, {"n": Agg("count_distinct", F.col("x"))}, Context(params, 5), recover=False).collect()}
+    for k, n in got.items():
+        own = [(r[1:-1], r[-1]) for r in rows if r[0] == k]
+        seed = 5 ^ fnv("NULL" if k is None else k)
+        parts = [dealt(params, own, i) for i in range(n_aids)]
+        flat = [flattened(params, seed, amounts, 0.0) for _, amounts in parts]
+        safe = parts[0][0]
+        want = safe if None in flat else away(combined(flat)[0]) + safe
+        assert n == max(params.suppression.low_threshold, want)

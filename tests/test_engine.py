@@ -47,7 +47,7 @@ def test_anonymizing_queries(spark, tables):
         ("SELECT count(age + id) FROM regular", analyzer.ONLY_COUNT_COLUMN),
         ("SELECT sum(age + 1) FROM regular", analyzer.ONLY_SUM_COLUMN),
         ("SELECT sum(distinct age) FROM regular", analyzer.ONLY_SUM_COLUMN),
-        ("SELECT diffix_count(*, id) FROM regular", analyzer.AGGREGATE_NOT_SUPPORTED),
+        ("SELECT anon_count(*, id) FROM regular", analyzer.AGGREGATE_NOT_SUPPORTED),
         ("SELECT count(*) FROM regular, products", analyzer.CROSS_JOIN),
         ("SELECT count(*) FROM regular JOIN products ON age > price", analyzer.JOIN_EQUALITIES),
         ("SELECT count(*) FROM regular JOIN products ON regular.id = products.id OR age = price", analyzer.JOIN_OR),
@@ -154,7 +154,7 @@ def test_distinct_values_are_dealt_to_entities(spark):
     fruit = [(f"p{i}", f) for i in range(5) for f in ("apple", "pear", "plum", "fig")] + [("p9", "kiwi"), ("p8", "kaki"), ("p7", "date")]
     df = spark.createDataFrame(fruit, "who string, fruit string")
     e = Engine(spark, noiseless({}, suppression=Suppression(2, 0.0, 0.0)), {"t": df})
-    assert rows(e.sql("SELECT diffix_count(DISTINCT fruit, who) FROM t")) == [(7,)]
+    assert rows(e.sql("SELECT anon_count(DISTINCT fruit, who) FROM t")) == [(7,)]
 
 
 def test_histogram(spark):
