@@ -1,6 +1,6 @@
 """Near-duplicates by SimHash fingerprints and pivot distance tables.
 
-The pivot table holds the Hamming distances of every fingerprint to ``2 * 8`` reference fingerprints. Two fingerprints at
+The pivot table holds the Hamming distances of every fingerprint to ``2 * 8`` pivot fingerprints. Two fingerprints at
 distance r differ by at most r in every coordinate (triangle inequality), so pairs with a larger coordinate difference are
 discarded and only survivors are verified bit by bit.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import as_bytes, cut, materialize, mix64
-from hushframe.llm.components import components
+from hushframe.operators.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 PIVOTS = 16

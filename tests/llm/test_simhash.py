@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from hushframe.llm import components as cc
 from hushframe.llm import simhash
+from hushframe.operators import components as cc
 
 
 def fingerprint(text):
