@@ -8,20 +8,24 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe import catalog_cases, catalog_noise
 from hushframe.engine import Engine
 from hushframe.operators import hooks
-from hushframe.params import AccessLevel, Params, noiseless
+from hushframe.params import AccessLevel, Params, Suppression, noiseless
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 AIDS = {"customer": ("c_custkey",), "orders": ("o_custkey",), "events": ("user_id",), "lineitem": ("l_orderkey", "l_suppkey")}
 QUIET = noiseless(AIDS, recover_outliers=False)
+NOISY = Params(aid_columns=AIDS, salt=b"salt")
 MODES = {
     "direct": (Params(), ()),
     "quiet": (QUIET, ()),
     "recover": (noiseless(AIDS), ()),
     "star": (QUIET, (hooks.star_bucket,)),
     "led": (QUIET, (hooks.led,)),
-    "noisy": (Params(aid_columns=AIDS, salt=b"salt"), hooks.DEFAULT),
+    "noisy": (NOISY, hooks.DEFAULT),
+    "unscaled": (replace(NOISY, recover_outliers=False), ()),
+    "three": (replace(QUIET, suppression=Suppression(3, 0.0, 0.0)), ()),
     "level_direct": (replace(QUIET, access_level=AccessLevel.DIRECT), ()),
     "synthetic": (replace(QUIET, use_adaptive_buckets=True), ()),
 }
@@ -69,6 +73,8 @@ _PRI = {"o_orderpriority": "o_orderpriority"}
 _FINE_KEYS = {"nation": "CAST(c_nationkey AS BIGINT)", "seg": "c_mktsegment", "step": "floor(c_acctbal / 1000.0) * 1000.0"}
 _FINE = "SELECT c_nationkey AS nation, c_mktsegment AS seg, floor_by(c_acctbal, 1000.0) AS step, count(*) AS n FROM customer GROUP BY 1, 2, 3"
 
+#: The text of a real, for reals whose decimal exponent is between -8 and 14.
+_TEXT = "CASE WHEN {x} <> 0 AND abs({x}) < 0.0001 THEN upper(regexp_replace(CAST({x} AS VARCHAR), '\\.0e', 'e')) ELSE regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '') END"
 #: name: (mode, query, SQL; None for the query itself)
 CATALOG: dict[str, tuple[str, str, str | None]] = {
     # Plan nodes, joins and plain aggregates
@@ -159,8 +165,20 @@ w AS (SELECT *, entities < 2 AS low, count(*) OVER (PARTITION BY seg, step) AS n
 v AS (SELECT * FROM w WHERE low AND (n0 = 1 OR n1 = 1 OR n2 = 1)),
 m AS (SELECT t.nation, t.seg, t.step, count(*) AS more FROM v JOIN w t ON NOT t.low AND ((v.n0 = 2 AND t.seg = v.seg AND t.step = v.step AND t.nation <> v.nation) OR (v.n1 = 2 AND t.nation = v.nation AND t.step = v.step AND t.seg <> v.seg) OR (v.n2 = 2 AND t.nation = v.nation AND t.seg = v.seg AND t.step <> v.step)) GROUP BY ALL)
 SELECT w.nation, w.seg, w.step, CAST(greatest(w.n + coalesce(more, 0), 2) AS BIGINT) AS n FROM w LEFT JOIN m USING (nation, seg, step) WHERE NOT w.low"""),
-    "noisy_count": ("noisy", "SELECT c_mktsegment, count(*) AS n, count_noise(*) AS cn, sum(c_acctbal) AS s FROM customer GROUP BY 1", ""),
+    "noisy_count": ("noisy", "SELECT c_mktsegment, count(*) AS n, count_noise(*) AS cn, sum(c_acctbal) AS s FROM customer GROUP BY 1", catalog_noise.grouped(NOISY, "customer", "c_mktsegment", "c_mktsegment", "customer.c_mktsegment", "c_custkey", "c_acctbal", True)),
+    "noisy_unscaled": ("unscaled", "SELECT c_mktsegment, count(*) AS n, count_noise(*) AS cn, sum(c_acctbal) AS s FROM customer GROUP BY 1", catalog_noise.grouped(NOISY, "customer", "c_mktsegment", "c_mktsegment", "customer.c_mktsegment", "c_custkey", "c_acctbal", False)),
+    "noisy_heavy": ("noisy", "SELECT o_orderpriority, count(*) AS n, count_noise(*) AS cn, sum(o_totalprice) AS s FROM orders GROUP BY 1", catalog_noise.grouped(NOISY, "orders", "o_orderpriority", "o_orderpriority", "orders.o_orderpriority", "o_custkey", "o_totalprice", True)),
+    "noisy_suppressed": ("unscaled", "SELECT substring(c_name, 1, 17) AS part, count(*) AS n, count_noise(*) AS cn, sum(c_acctbal) AS s FROM customer GROUP BY 1", catalog_noise.grouped(NOISY, "customer", "part", "substring(c_name, 1, 17)", "substring,customer.c_name,1,17", "c_custkey", "c_acctbal", False)),
     "noisy_fine": ("noisy", _FINE, ""),
+    "anon_count_distinct": ("quiet", "SELECT o_orderpriority, count(DISTINCT o_totalprice) AS n FROM orders GROUP BY 1", """WITH v AS (SELECT o_orderpriority, o_totalprice, count(DISTINCT o_custkey) AS k, min(o_custkey) AS a FROM orders GROUP BY ALL),
+e AS (SELECT o_orderpriority, a, count(*) AS m FROM v WHERE k < 2 GROUP BY ALL),
+f AS (SELECT o_orderpriority, count(*) AS entities, sum(m) - ((list_reverse_sort(list(m)))[1] - (list_reverse_sort(list(m)))[2]) AS rare FROM e GROUP BY 1),
+s AS (SELECT o_orderpriority, count(*) FILTER (WHERE k >= 2) AS safe FROM v GROUP BY 1)
+SELECT o_orderpriority, CAST(greatest(safe + CASE WHEN entities >= 2 THEN rare ELSE 0 END, 2) AS BIGINT) AS n FROM s LEFT JOIN f USING (o_orderpriority)"""),
+    "anon_count_distinct_noise": ("quiet", "SELECT o_orderpriority, count_noise(DISTINCT o_totalprice) AS n FROM orders GROUP BY 1", "SELECT o_orderpriority, 0.0::DOUBLE AS n FROM orders GROUP BY 1"),
+    "casts_to_text": ("direct", "SELECT c_custkey AS k, cast(c_acctbal * 100000.0 AS text) AS a, cast(c_acctbal / 1000000.0 AS text) AS b, cast(floor_by(c_acctbal, 0.5) AS text) AS c, cast(c_acctbal < 0 AS text) AS d FROM customer", f"SELECT c_custkey AS k, {_TEXT.format(x='(c_acctbal * 100000.0::DOUBLE)')} AS a, {_TEXT.format(x='(c_acctbal / 1000000.0::DOUBLE)')} AS b, {_TEXT.format(x='(floor(c_acctbal / 0.5::DOUBLE) * 0.5::DOUBLE)')} AS c, CAST(c_acctbal < 0 AS VARCHAR) AS d FROM customer"),
+    "casts_of_numbers": ("direct", "SELECT c_custkey AS k, cast(substring(c_name, 10, 9) AS integer) AS i, cast(substring(c_name, 10, 5) || '.5' AS real) AS r FROM customer", "SELECT c_custkey AS k, CAST(substring(c_name, 10, 9) AS BIGINT) AS i, CAST(substring(c_name, 10, 5) || '.5' AS DOUBLE) AS r FROM customer"),
+    "synthetic_column": ("synthetic", "SELECT c_mktsegment FROM customer", None),
     "synthetic_rows": ("synthetic", "SELECT c_mktsegment, c_nationkey FROM customer", ""),
 }
 for _part in ("second", "minute", "hour", "day", "week", "month", "quarter", "year", "decade", "century", "millennium"):
@@ -172,5 +190,5 @@ for _part in ("second", "epoch", "minute", "hour", "day", "dow", "doy", "isodow"
     _sql = {"epoch": "round(floor(epoch_us(ts) / 1000) / 1000, 4)", "second": "floor(second(ts))"}.get(_part, f"date_part('{_part}', ts)")
     CATALOG[f"extract_{_part}"] = ("direct", f"SELECT event_id AS k, extract({_part} FROM ts) AS x FROM events", f"SELECT event_id AS k, CAST({_sql} AS DOUBLE) AS x FROM events")
 
-QUERIES = {name: query(mode, sql) for name, (mode, sql, _) in CATALOG.items()}
-ORACLES = {name: (sql if oracle is None else oracle) for name, (_, sql, oracle) in CATALOG.items() if oracle != ""}
+QUERIES = {name: query(mode, sql) for name, (mode, sql, _) in CATALOG.items()} | catalog_cases.QUERIES
+ORACLES = {name: (sql if oracle is None else oracle) for name, (_, sql, oracle) in CATALOG.items() if oracle != ""} | catalog_cases.ORACLES

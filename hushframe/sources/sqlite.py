@@ -47,8 +47,8 @@ class Reader(DataSourceReader):
                 low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
             except sqlite3.OperationalError:  # a view, or a table without row ids
                 return [Rows(None, None)]
-        if low is None:
-            return [Rows(1, 0)]
+        if low is None:  # no rows, or a view, whose rows have no ids
+            return [Rows(None, None)]
         step = max(ROWS_PER_PARTITION, -(-(high - low + 1) // MOST_PARTITIONS))
         return [Rows(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
