@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hushframe.storage import materialize, new_path, shared_dir
 
-__all__ = ["as_bytes", "crc_mod", "cut", "interned", "materialize", "mix64", "new_path", "pack", "release", "small_batches", "shared_dir", "table", "unpack"]
+__all__ = ["as_bytes", "crc_mod", "cut", "forget", "interned", "materialize", "mix64", "new_path", "pack", "release", "small_batches", "shared_dir", "table", "unpack"]
 
 #: Text handled by Python at once inside a worker, in bytes.
 SLICE_BYTES = 1 << 20
@@ -70,6 +70,11 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no plan refers to any more: its cleaner follows the driver's garbage collector, which may not run for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit words (the splitmix64 finalizer)."""
     x = x.astype(np.uint64, copy=True)

@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from hushframe.llm.common import as_bytes, cut, materialize, mix64
+from hushframe.llm.common import as_bytes, cut, forget, materialize, mix64
 from hushframe.llm.gsaca import suffix_array
 
 LENGTH, GRAM = 100, 32
 CHUNK_BYTES, LEAST_CHUNKS = 4 << 20, 24
 #: Stretches are sorted together up to so many bytes; those of one hash that are more than LARGE are dealt again, so often at most.
 SORTED, LARGE, DEALT = 1 << 15, 1 << 18, 8
-#: A bucket takes the anchors of so many chunks. Anchors are packed when there are PACKED for each bucket, or HELD in all.
-BUCKET_CHUNKS, PACKED, HELD = 4, 64, 1 << 19
+#: A bucket takes the anchors of so many chunks. Anchors are packed when there are PACKED for each bucket, but from LEAST to HELD in all.
+BUCKET_CHUNKS, PACKED, LEAST, HELD = 4, 64, 1 << 17, 1 << 19
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 #: So many chunks' anchors meet in one task at most; with more, those of a hash are first sifted part by part.
@@ -142,7 +142,7 @@ def _scan(length: int, gram: int, buckets: int, parts: int):
         return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a in edges[:-1]], pa.int64()), pa.array([part] * (len(edges) - 1), pa.int64()), pa.array([_pack(rows[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], schema=_FOUND)
 
     def run(batches):
-        found, held, enough = [], 0, min(HELD, PACKED * buckets)
+        found, held, enough = [], 0, min(HELD, max(LEAST, PACKED * buckets))
         for batch in batches:
             for slice_ in cut(batch, batch.column(1)):
                 for key, data in zip(slice_.column(0).to_pylist(), as_bytes(slice_.column(1)), strict=True):
@@ -399,6 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     rows = _keyed(docs, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(LEAST_CHUNKS, -(-size // chunk_bytes))
+    forget(docs.sparkSession)
     buckets, parts = max(LEAST_CHUNKS, chunks // BUCKET_CHUNKS), -(-chunks // MEETING)
     found = rows.select("key", "text").mapInArrow(_scan(length, gram, buckets, parts), "bucket long, part long, data binary")
     copies = None
@@ -406,6 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         sifted = materialize(found.groupBy("bucket", "part").applyInArrow(_sift(chunks), "bucket long, chunk long, wanted boolean, data binary"), "sifted")
         found, copies = sifted.filter("wanted").select("bucket", "data"), sifted.filter("not wanted").select("chunk", "wanted", "data")
     judged = materialize(found.groupBy("bucket").applyInArrow(_judge(chunks), "chunk long, wanted boolean, data binary"), "judged")
+    forget(docs.sparkSession)
     dealt = rows.select(F.pmod(F.hash("key"), F.lit(chunks)).cast("long").alias("chunk"), "key", "doc_id", "text")
     taken = dealt.groupBy("chunk").cogroup(judged.filter("wanted").groupBy("chunk")).applyInArrow(_fetch(buckets), "bucket long, m long, key long, lo long, bytes binary")
     sorted_ = taken.groupBy("bucket").applyInArrow(_sort(length, gram, chunks), "chunk long, wanted boolean, data binary")
