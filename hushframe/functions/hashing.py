@@ -10,7 +10,7 @@ import hashlib
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of FNV-1a.
@@ -51,16 +51,16 @@ def fnv(data: bytes | str) -> int:
     return h
 
 
-def _step(state: Column, byte: Column) -> Column:
+def _step(state, byte: Column) -> dict[str, Column]:
     # The prime is 2^40 + 435: hi gets lo * 256 (from 2^40) and hi * 435, and the carry of lo * 435.
     x = state["lo"].bitwiseXOR(byte)
     low = x * 435
     hi = (state["hi"] * 435 + x * 256 + F.shiftright(low, 32)).bitwiseAND(F.lit(_LOW))
-    return F.struct(hi.alias("hi"), low.bitwiseAND(F.lit(_LOW)).alias("lo"))
+    return {"hi": hi, "lo": low.bitwiseAND(F.lit(_LOW))}
 
 
 def _fold(octets: Column) -> Column:
-    return F.aggregate(octets, literal(OFFSET).struct(), _step)
+    return F.aggregate(octets, literal(OFFSET).struct(), lambda state, byte: F.struct(*(c.alias(n) for n, c in _step(state, byte).items())))
 
 
 def fnv_text(text: Column) -> Column:
@@ -76,6 +76,16 @@ def fnv_long(number: Column) -> Column:
     return _fold(F.array(*(F.shiftright(number, 8 * i).bitwiseAND(F.lit(255)) for i in range(8))))
 
 
+def with_fnv_long(df: DataFrame, number: Column, into: str) -> DataFrame:
+    """Adds ``into``: the same hash as ``fnv_long``, a byte a projection, so that all of it is compiled with the steps around it."""
+    hi, lo, n = "__hi", "__lo", "__n"
+    out = df.withColumns({n: number, hi: F.lit(OFFSET >> 32).cast("long"), lo: F.lit(OFFSET & _LOW).cast("long")})
+    for i in range(8):
+        step = _step({"hi": F.col(hi), "lo": F.col(lo)}, F.shiftright(n, 8 * i).bitwiseAND(F.lit(255)))
+        out = out.withColumns({hi: step["hi"], lo: step["lo"]})
+    return out.withColumn(into, F.when(F.col(n).isNotNull(), F.struct(F.col(hi).alias("hi"), F.col(lo).alias("lo")))).drop(n, hi, lo)
+
+
 def xor_all(words: Column) -> Column:
     """Of an array of hi/lo structs; a struct."""
     return F.aggregate(words, literal(0).struct(), lambda a, b: (of(a) ^ of(b)).struct())

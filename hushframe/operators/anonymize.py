@@ -116,11 +116,17 @@ def _legs(aggs: dict[str, Agg]) -> list[tuple[str, int, int]]:
     return [(a.kind, i, 2 * i) for i, a in enumerate(aggs.values())]
 
 
-def contributions(p: Prepared) -> DataFrame:
+def _entities(p: Prepared) -> Column:
+    """Pairs (aid, t) of a row's entities, as they are if all are integers and else as texts."""
+    kinds = dict(p.rows.dtypes)
+    same = all(kinds[f"a{i}"] == "bigint" for i in range(p.aids))
+    return F.posexplode(F.array(*(F.col(f"a{i}") if same else F.col(f"a{i}").cast("string") for i in range(p.aids)))).alias("aid", "t")
+
+
+def contributions(p: Prepared, aids: list[bool]) -> DataFrame:
     """(keys, aid, leg, hash, amount): hash is null for what belongs to no entity."""
-    entities = F.posexplode(F.array(*(F.struct(F.col(f"a{i}").cast("string").alias("t")) for i in range(p.aids)))).alias("aid", "e")
     args = [c for c in p.rows.columns if c.startswith("x")]
-    rows = p.rows.select(*p.keys, entities, *args).select(*p.keys, "aid", F.col("e.t").alias("t"), *args)
+    rows = p.rows.select(*p.keys, _entities(p), *args)
     sums = [F.count(F.lit(1)).cast("double").alias("m")]
     parts = [F.struct(F.lit(ROWS).alias("leg"), F.lit(1.0).alias("amount"), F.lit(True).alias("is_in"))]
     for kind, i, leg in _legs(p.aggs):
@@ -132,17 +138,22 @@ def contributions(p: Prepared) -> DataFrame:
             for j, (holds, amount) in enumerate(((x >= 0, x), (x <= 0, -x))):
                 sums += [F.coalesce(F.sum(F.when(holds, amount.cast("double"))), F.lit(0.0)).alias(f"m{i}_{j}"), (F.count_if(holds) > 0).alias(f"n{i}_{j}")]
                 parts.append(F.struct(F.lit(leg + j).alias("leg"), F.col(f"m{i}_{j}").alias("amount"), F.col(f"n{i}_{j}").alias("is_in")))
-    per_entity = rows.groupBy(*p.keys, "aid", "t").agg(*sums)
-    long = per_entity.select(*p.keys, "aid", "t", F.explode(F.array(*parts)).alias("c")).filter("c.is_in")
-    return long.select(*p.keys, "aid", "t", F.col("c.leg").alias("leg"), F.col("c.amount").alias("amount"))
+    # Hashed once for each entity of a bucket, before it gets a row for each leg.
+    per_entity = hashed(rows.groupBy(*p.keys, "aid", "t").agg(*sums), aids)
+    long = per_entity.select(*p.keys, "aid", "h", F.explode(F.array(*parts)).alias("c")).filter("c.is_in")
+    return long.select(*p.keys, "aid", F.col("c.leg").alias("leg"), F.col("c.amount").alias("amount"), "h")
 
 
-def hashed(long: DataFrame, aids: list[bool]) -> DataFrame:
-    """Adds the entity's hash; ``aids``: whether each instance is an integer."""
-    of_int, of_text = H.fnv_long(F.col("t").try_cast("long")), H.fnv_text(F.col("t"))
-    kind = F.element_at(F.array(*map(F.lit, aids)), F.col("aid") + 1)
-    h = of_int if all(aids) else of_text if not any(aids) else F.when(kind, of_int).otherwise(of_text)
-    return long.withColumn("h", F.when(F.col("t").isNotNull(), h)).drop("t")
+def hashed(rows: DataFrame, aids: list[bool]) -> DataFrame:
+    """The entity ``t`` as its hash ``h``; ``aids``: whether each instance is an integer."""
+    if all(aids):
+        return H.with_fnv_long(rows, F.col("t").cast("long"), "h").drop("t")
+    of_text = H.fnv_text(F.col("t"))
+    if any(aids):
+        kind = F.element_at(F.array(*map(F.lit, aids)), F.col("aid") + 1)
+        rows = H.with_fnv_long(rows, F.when(kind, F.col("t").try_cast("long")), "__h")
+        return rows.withColumn("h", F.when(kind, F.col("__h")).otherwise(F.when(F.col("t").isNotNull(), of_text))).drop("t", "__h")
+    return rows.withColumn("h", F.when(F.col("t").isNotNull(), of_text)).drop("t")
 
 
 def statistics(long: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -153,9 +164,11 @@ def statistics(long: DataFrame, keys: list[str], most: int) -> DataFrame:
         F.count_if(known).alias("n"), F.coalesce(F.sum(F.when(known, F.col("amount"))), F.lit(0.0)).alias("total"), F.coalesce(F.sum(F.when(~known, F.col("amount"))), F.lit(0.0)).alias("unaccounted"),
         F.struct(F.coalesce(F.bit_xor("h.hi"), F.lit(0)).alias("hi"), F.coalesce(F.bit_xor("h.lo"), F.lit(0)).alias("lo")).alias("xor"),
     )
-    order = Window.partitionBy(*by).orderBy(F.col("amount").desc(), F.col("h.hi").desc(), F.col("h.lo").desc())
-    top = long.filter(known & (F.col("leg") != ROWS)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    top = top.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "amount", "h"))).alias("top"))
+    # What belongs to no entity comes last and is left out after ranking: a filter on the hash would be pushed below the sums of the entities, to every row.
+    order = Window.partitionBy(*by).orderBy(known.desc(), F.col("amount").desc(), F.col("h.hi").desc(), F.col("h.lo").desc())
+    top = long.filter(F.col("leg") != ROWS).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    top = top.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(known, F.struct("rank", "amount", "h")))).alias("top"))
+    top = top.withColumn("top", F.when(F.size("top") > 0, F.col("top")))
     return join_keys(stats.withColumns({"g": F.struct("aid", "leg")}), top.withColumn("g", F.struct("aid", "leg")).drop("aid", "leg"), [*keys, "g"], "left").drop("g")
 
 
@@ -272,8 +285,7 @@ def _seeded(stats: DataFrame, p: Prepared, context: Context | None = None) -> Da
 
 def _distinct_values(p: Prepared, i: int, aids: list[bool]) -> DataFrame:
     """(keys, value, aid, h) without repeats."""
-    entities = F.posexplode(F.array(*(F.col(f"a{j}").cast("string") for j in range(p.aids)))).alias("aid", "t")
-    rows = p.rows.filter(F.col(f"x{i}").isNotNull()).select(*p.keys, F.col(f"x{i}").alias("v"), entities)
+    rows = p.rows.filter(F.col(f"x{i}").isNotNull()).select(*p.keys, F.col(f"x{i}").alias("v"), _entities(p))
     return hashed(rows.distinct(), aids)
 
 
@@ -340,8 +352,7 @@ def histogram(p: Prepared, i: int, agg: Agg, aids: list[bool]) -> DataFrame:
     params, counted = p.context.params, f"a{agg.aid}"
     own = p.rows.filter(F.col(counted).isNotNull()).withColumn("c", F.col(counted))
     bins = own.groupBy(*p.keys, "c").agg((F.floor(F.count(F.lit(1)) / agg.bin) * agg.bin).cast("long").alias("bin"))
-    entities = F.posexplode(F.array(*(F.col(f"a{j}").cast("string") for j in range(p.aids)))).alias("aid", "t")
-    sets = hashed(join_keys(own, bins, [*p.keys, "c"]).select(*p.keys, "bin", entities).distinct(), aids)
+    sets = hashed(join_keys(own, bins, [*p.keys, "c"]).select(*p.keys, "bin", _entities(p)).distinct(), aids)
 
     def judged(rows: DataFrame, by: list[str]) -> DataFrame:
         per = rows.groupBy(*by, "aid").agg(F.count("h").alias("n"), F.struct(F.coalesce(F.bit_xor("h.hi"), F.lit(0)).alias("hi"), F.coalesce(F.bit_xor("h.lo"), F.lit(0)).alias("lo")).alias("xor"))
@@ -365,7 +376,7 @@ def low_counts(long: DataFrame, keys: list[str], params: Params) -> DataFrame:
 
 
 def contributed(p: Prepared, aids: list[bool]) -> DataFrame:
-    return hashed(contributions(p), aids).select(*p.keys, "aid", "leg", "amount", "h")
+    return contributions(p, aids).select(*p.keys, "aid", "leg", "amount", "h")
 
 
 def aggregate(p: Prepared, aids: list[bool]) -> tuple[DataFrame | None, DataFrame, DataFrame]:

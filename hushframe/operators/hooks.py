@@ -31,7 +31,7 @@ def led(p: Prepared, aids: list[bool]) -> Prepared:
     if len(p.labels) < 3:
         return p
     keys = p.keys
-    buckets = materialize(low_counts(p.long, keys, p.context.params), "buckets")
+    buckets = low_counts(p.long, keys, p.context.params)
     for i, key in enumerate(keys):
         others = Window.partitionBy(*(k for k in keys if k != key))
         buckets = buckets.withColumns({f"n{i}": F.count(F.lit(1)).over(others), f"t{i}": F.max(F.when(~F.col("low"), F.struct(F.col(key).alias("to")))).over(others)})
@@ -42,6 +42,8 @@ def led(p: Prepared, aids: list[bool]) -> Prepared:
     unknown = F.greatest(*((F.col(f"n{i}") == 1).cast("int") for i in range(len(keys)))) == 1
     victims = buckets.filter("low").filter(unknown).withColumn("targets", targets).filter(F.size("targets") > 0).select(*keys, "targets")
     victims = materialize(victims, "victims")
+    if victims.isEmpty():
+        return p
     moves = victims.select(*keys, F.explode("targets").alias("t")).select(*keys, "t.*")
     long = _summed(p.long.unionByName(_moved(p.long, moves, keys)), keys)
     return p.changed(rows=p.rows.unionByName(_moved(p.rows, moves, keys)), long=long, merged=victims.select(*keys))
@@ -56,14 +58,15 @@ def star_bucket(p: Prepared, aids: list[bool]) -> Prepared:
     kinds = dict(p.rows.dtypes)
     labels = [(F.lit("*") if kinds[k] == "string" else F.lit(None).cast(kinds[k])).alias(f"to_{k}") for k in keys]
     moves = materialize(low.select(*keys, *labels), "suppressed")
-    star = _summed(_moved(p.long, moves, keys), keys)
-    shown = low_counts(star, keys, p.context.params).select((~F.col("low")).alias("shown")).crossJoin(moves.agg((F.count(F.lit(1)) >= 2).alias("enough")))
-    shown = shown.filter("shown and enough").count() == 1
     rows, long = p.rows.withColumn(STAR, F.lit(False)), p.long.withColumn(STAR, F.lit(False))
-    if shown:
-        rows = rows.unionByName(_moved(p.rows, moves, keys).withColumn(STAR, F.lit(True)))
-        long = long.unionByName(star.withColumn(STAR, F.lit(True)))
-    return p.changed(rows=rows, long=long, keys=[*keys, STAR])
+    starred = p.changed(rows=rows, long=long, keys=[*keys, STAR])
+    if len(moves.head(2)) < 2:
+        return starred
+    star = _summed(_moved(p.long, moves, keys), keys)
+    shown = low_counts(star, keys, p.context.params)
+    if shown.filter("low").count():
+        return starred
+    return starred.changed(rows=rows.unionByName(_moved(p.rows, moves, keys).withColumn(STAR, F.lit(True))), long=long.unionByName(star.withColumn(STAR, F.lit(True))))
 
 
 DEFAULT = (led, star_bucket)
