@@ -21,7 +21,7 @@ from hushframe.llm.numbering import hash48, number_rows
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = "mix"
 #: Documents of one source and size are numbered in so many cells; a cell is what one task sorts.
-CELLS = 1024
+CELLS = 256
 
 
 def n_words(text: Column) -> Column:
