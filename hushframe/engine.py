@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from hushframe import log
 from hushframe.functions import scalar
 from hushframe.operators import hooks as hook_functions
+from hushframe.operators.adaptive import repeated, synthesize
 from hushframe.operators.anonymize import Agg, Aid, Context, anonymize, join_keys
 from hushframe.params import AccessLevel, Params
 from hushframe.plans import analyzer as an
@@ -205,7 +206,7 @@ class Engine:
         names = [n for n, _ in items]
         kinds = [e.kind for e in exprs]
         if expand:
-            df = df.filter("__expand >= 1").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__expand")))).drop("__n", "__expand")
+            df = repeated(df, "__expand", "__n").drop("__n", "__expand")
         return self._finish(df, q, order, len(exprs)), names, kinds
 
     def _finish(self, df: DataFrame, q: ast.Select, order, width: int) -> DataFrame:
@@ -318,8 +319,6 @@ class Engine:
         return out.withColumnRenamed("low", low), known
 
     def _synthesize(self, q: ast.Select, scope: Scope, items, where, order, aids):
-        from hushframe.operators.adaptive import synthesize
-
         df = scope.df if where is None else scope.df.filter(self._column(where))
         exprs = [e for _, e in items]
         context = self._context([], where)

@@ -2,18 +2,22 @@
 
 Every selected column becomes a real dimension with a root range of a power of two. For each combination of dimensions a tree halves all
 its dimensions at each level, so a node is a cell of a grid: (combination, depth, cell numbers). Nodes are counted level by level with
-group-bys over all rows (all combinations of a size at once), never by inserting rows one after the other, so the forest does not depend on
-their order. Only counts of nodes reach the driver, where leaves are turned into buckets; rows are made from buckets by Spark.
+group-bys over all rows (all combinations at once), never by inserting rows one after the other, so the forest does not depend on their order.
+
+Buckets are made from the deepest level up, again by group-bys and joins of whole levels: a leaf gives its own bucket, and a node the buckets of its
+children, scaled to its count or filled up with matches of buckets that have a dimension less. Nodes, buckets and rows are tables in the shared folder;
+the driver sees the ends of the columns and whether a level is empty. A node's matches are drawn by a seeded generator in blocks of ``BLOCK``.
 """
 
 from __future__ import annotations
 
 import math
-import random
-from dataclasses import dataclass, field, replace
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import hashing as H
@@ -49,35 +53,14 @@ def snap(low: float, high: float) -> Range:
         low = start
 
 
-@dataclass
-class Node:
-    combo: tuple[int, ...]
-    depth: int
-    cells: tuple[int, ...]
-    count: int
-    crosses: bool  # the low threshold
-    solid: bool  # the threshold that makes it no stub
-    actual: tuple[Range, ...]
-    snapped: tuple[Range, ...]
-    stub: bool = False
-    halves: dict[int, Range] = field(default_factory=dict)
-
-    @property
-    def singular(self) -> bool:
-        return all(a == b for a, b in self.actual)
-
-    def shown(self) -> tuple[Range, ...]:
-        """What a bucket tells: a value where there is one only, else the snapped range."""
-        return tuple(a if a[0] == a[1] else s for a, s in zip(self.actual, self.snapped, strict=True))
+#: Draws of one node that are made, and equal rows that are written, at once.
+BLOCK = 1 << 16
+#: Buckets of a node are scaled in so many groups, which know what those before them left over.
+GROUPS = 256
+_NODE = ["node", "size", "n", "crosses", "solid", "alo", "ahi", "slo", "shi"]
 
 
-@dataclass
-class Bucket:
-    ranges: tuple[Range, ...]
-    count: int
-
-
-def _cell(i: Column | int, roots: list[Range], depth: int, dim: int) -> Column:
+def _cell(roots: list[Range], depth: int, dim: int) -> Column:
     low, high = roots[dim]
     step = (high - low) / 2.0**depth
     return F.least(F.greatest(F.floor((F.col(f"f{dim}") - low) / step), F.lit(0)), F.lit(2**depth - 1)).cast("long")
@@ -85,10 +68,45 @@ def _cell(i: Column | int, roots: list[Range], depth: int, dim: int) -> Column:
 
 def _name(combos: list[tuple[int, ...]], roots: list[Range], depth: int) -> Column:
     """The nodes of a row at a depth, one for each combination: "combination:cell,cell"."""
-    return F.array(*(F.concat(F.lit(",".join(map(str, c)) + ":"), F.concat_ws(",", *(_cell(0, roots, depth, d).cast("string") for d in c))) for c in combos))
+    return F.array(*(F.concat(F.lit(",".join(map(str, c)) + ":"), F.concat_ws(",", *(_cell(roots, depth, d).cast("string") for d in c))) for c in combos))
+
+
+def _dims(node: Column) -> Column:
+    return F.split(F.split_part(node, F.lit(":"), F.lit(1)), ",").cast("array<int>")
+
+
+def _cells(node: Column) -> Column:
+    return F.split(F.split_part(node, F.lit(":"), F.lit(2)), ",").cast("array<bigint>")
+
+
+def _without(values: Column, out: Column) -> Column:
+    return F.filter(values, lambda _, i: i != out)
+
+
+def _projected(node: Column, out: Column) -> Column:
+    """The node's cell in the grid that lacks one of its dimensions (by its place)."""
+    return F.concat(F.array_join(_without(_dims(node), out).cast("array<string>"), ","), F.lit(":"), F.array_join(_without(_cells(node), out).cast("array<string>"), ","))
+
+
+def _parent(node: Column) -> Column:
+    return F.concat(F.split_part(node, F.lit(":"), F.lit(1)), F.lit(":"), F.array_join(F.transform(_cells(node), lambda c: F.shiftright(c, 1)).cast("array<string>"), ","))
+
+
+def _places(size: int) -> Column:
+    return F.explode(F.array(*map(F.lit, range(size))))
+
+
+def repeated(df: DataFrame, count: str, into: str) -> DataFrame:
+    """Each row as often as it says, numbered from 1; a block at a time is in memory."""
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / BLOCK))
+    out = df.filter(F.col(count) > 0).withColumn("__block", F.explode(blocks))
+    first = F.col("__block") * BLOCK + 1
+    return out.withColumn(into, F.explode(F.sequence(first, F.least(F.col(count), first + (BLOCK - 1))))).drop("__block")
 
 
 class Forest:
+    """``levels``: a table of nodes for each depth."""
+
     def __init__(self, df: DataFrame, columns: dict[str, tuple[Column, str]], aids: list[Aid], context: Context):
         self.context, self.params = context, context.params
         self.names, self.kinds = list(columns), [k for _, k in columns.values()]
@@ -103,201 +121,216 @@ class Forest:
         self.nulls = [2 * hi if hi > 0 else 2 * lo if lo < 0 else 1.0 for lo, hi in pairs]
         self.roots = [snap(min(lo, z), max(hi, z)) for (lo, hi), z in zip(pairs, self.nulls, strict=True)]
         self.rows = materialize(rows.select(*(F.coalesce(F.col(f"f{i}"), F.lit(z)).alias(f"f{i}") for i, z in enumerate(self.nulls)), *(f"a{i}" for i in range(len(aids)))), "points")
-        self.nodes: dict[tuple, Node] = {}
         for i in range(n):
             self._push_down(i)
-        for size in range(1, n + 1):
-            self._grow(list(combinations(range(n), size)))
-        self._halve()
+        self.combos = [c for size in range(1, n + 1) for c in combinations(range(n), size)]
+        self.levels: list[DataFrame] = []
+        self._grow()
 
     def _push_down(self, dim: int) -> None:
         """Halves a root as long as exactly one of its halves has enough entities."""
         for _ in range(DEEPEST):
             low, high = self.roots[dim]
             half = F.when(F.col(f"f{dim}") < (low + high) / 2, 0).otherwise(1)
-            crosses = {r["k0"]: not r["low"] for r in self._verdicts(self.rows, half).select("k0", "low").collect()}
+            p = prepare(self.rows, {"half": half}, self.aids, {}, self.context)
+            crosses = {r["k0"]: not r["low"] for r in self._verdicts(statistics(contributed(p, self.integers), p.keys, 1)).select("k0", "low").collect()}
             if crosses.get(0, False) == crosses.get(1, False):
                 return
             self.roots[dim] = (low, (low + high) / 2) if crosses.get(0, False) else ((low + high) / 2, high)
 
-    def _verdicts(self, rows: DataFrame, key: Column) -> DataFrame:
-        p = prepare(rows, {"node": key}, self.aids, {}, self.context)
-        stats = statistics(contributed(p, self.integers), p.keys, 1).filter(F.col("leg") == ROWS)
+    def _verdicts(self, stats: DataFrame) -> DataFrame:
         ab = self.params.adaptive_buckets
         few = lambda n: F.bool_or(threshold(self.params, F.col("n"), F.col("xor"), n))
-        return stats.groupBy("k0").agg(few(None).alias("low"), few(ab.singularity_low_threshold).alias("low_single"), few(ab.range_low_threshold).alias("low_range"))
+        return stats.filter(F.col("leg") == ROWS).groupBy("k0").agg(few(None).alias("low"), few(ab.singularity_low_threshold).alias("low_single"), few(ab.range_low_threshold).alias("low_range"))
 
-    def _count(self, rows: DataFrame, dims: int) -> list:
-        """Of rows with a column ``node``: verdicts, noisy counts and the ends of the values."""
+    def _counted(self, rows: DataFrame, depth: int) -> DataFrame:
+        """Nodes of the rows' column ``node``: noisy count, whether they cross the low threshold and are solid enough to be no stub, the ends of their values, and their cells' ends."""
         p = prepare(rows, {"node": F.col("node")}, self.aids, {"n": Agg("count")}, self.context)
-        long = contributed(p, self.integers)
         most = self.params.outlier_count.upper + self.params.top_count.upper
-        stats = statistics(long, p.keys, most)
+        stats = statistics(contributed(p, self.integers), p.keys, most)
         counts = combine(flatten(_seeded(stats, p), self.params), p, False).select("k0", "n")
-        verdicts = stats.filter(F.col("leg") == ROWS)
-        ab = self.params.adaptive_buckets
-        few = lambda n: F.bool_or(threshold(self.params, F.col("n"), F.col("xor"), n))
-        verdicts = verdicts.groupBy("k0").agg(few(None).alias("low"), few(ab.singularity_low_threshold).alias("low_single"), few(ab.range_low_threshold).alias("low_range"))
-        ends = rows.groupBy(F.col("node").alias("k0")).agg(*(f(f"f{i}").alias(f"{f.__name__}{i}") for i in range(dims) for f in (F.min, F.max)))
-        return counts.join(verdicts, "k0").join(ends, "k0").collect()
-
-    def _grow(self, combos: list[tuple[int, ...]]) -> None:
+        dims = range(len(self.roots))
+        ends = rows.groupBy(F.col("node").alias("k0")).agg(*(F.array(*(f(f"f{i}") for i in dims)).alias(n) for f, n in ((F.min, "lows"), (F.max, "highs"))))
+        out = counts.join(self._verdicts(stats), "k0").join(ends, "k0").withColumnRenamed("k0", "node")
+        out = out.withColumns({"dims": _dims(F.col("node")), "cells": _cells(F.col("node"))})
+        of = lambda values: F.transform("dims", lambda d: F.get(F.col(values), d))
+        starts, steps = F.array(*(F.lit(lo) for lo, _ in self.roots)), F.array(*(F.lit((hi - lo) / 2.0**depth) for lo, hi in self.roots))
+        edge = lambda more: F.transform(F.arrays_zip("dims", "cells"), lambda z: F.get(starts, z["dims"]) + (z["cells"] + more) * F.get(steps, z["dims"]))
+        out = out.withColumns({"alo": of("lows"), "ahi": of("highs"), "slo": edge(0), "shi": edge(1), "size": F.size("dims"), "crosses": ~F.col("low")})
+        return out.withColumn("solid", ~F.when(F.col("alo") == F.col("ahi"), F.col("low_single")).otherwise(F.col("low_range"))).select(*_NODE)
+
+    def _grow(self) -> None:
         """Level by level: rows of nodes that are split go on to the next depth."""
-        split: set[str] | None = None
-        dims = len(self.roots)
         for depth in range(DEEPEST):
-            rows = self.rows
-            if split is not None:
-                parents = F.arrays_zip(_name(combos, self.roots, depth - 1).alias("parent"), _name(combos, self.roots, depth).alias("node"))
-                chosen = rows.sparkSession.createDataFrame([(s,) for s in sorted(split)], "parent string")
-                rows = rows.withColumn("z", F.explode(parents)).select(*rows.columns, "z.parent", "z.node").join(chosen, "parent", "left_semi")
+            if not self.levels:
+                rows = self.rows.withColumn("node", F.explode(_name(self.combos, self.roots, 0)))
             else:
-                rows = rows.withColumn("node", F.explode(_name(combos, self.roots, 0)))
-            split = set()
-            for r in self._count(rows, dims):
-                combo, cells = (tuple(map(int, x.split(","))) for x in r["k0"].split(":"))
-                actual = tuple((r[f"min{d}"], r[f"max{d}"]) for d in combo)
-                sizes = [(self.roots[d][1] - self.roots[d][0]) / 2.0**depth for d in combo]
-                snapped = tuple((self.roots[d][0] + c * s, self.roots[d][0] + (c + 1) * s) for d, c, s in zip(combo, cells, sizes, strict=True))
-                single = all(a == b for a, b in actual)
-                node = Node(combo, depth, cells, r["n"], not r["low"], not (r["low_single"] if single else r["low_range"]), actual, snapped)
-                below = [self.nodes.get((combo[:i] + combo[i + 1 :], depth, cells[:i] + cells[i + 1 :])) for i in range(len(combo))] if len(combo) > 1 else []
-                node.stub = bool(below) and all(x is None or x.stub or not x.solid for x in below)
-                self.nodes[combo, depth, cells] = node
-                if not node.stub and not node.singular and node.crosses:
-                    split.add(r["k0"])
-            if not split:
+                parents = F.arrays_zip(_name(self.combos, self.roots, depth - 1).alias("parent"), _name(self.combos, self.roots, depth).alias("node"))
+                split = self.levels[-1].filter("split").select(F.col("node").alias("parent"))
+                rows = self.rows.withColumn("z", F.explode(parents)).select(*self.rows.columns, "z.parent", "z.node").join(split, "parent", "left_semi")
+            nodes = self._counted(rows, depth)
+            # With several dimensions a level is read more than once.
+            level = self._judged(nodes if len(self.roots) == 1 else materialize(nodes, "nodes"))
+            self.levels.append(materialize(self._halved(level, depth), "level"))
+            if self.levels[-1].filter("split").isEmpty():
                 return
 
-    def children(self, node: Node) -> list[Node]:
-        bits = [[]]
-        for c in node.cells:
-            bits = [[*b, 2 * c + h] for b in bits for h in (0, 1)]
-        return [x for b in bits if (x := self.nodes.get((node.combo, node.depth + 1, tuple(b))))]
-
-    def _halve(self) -> None:
-        """Of stub leaves: a half without enough entities is cut off each dimension."""
-        leaves = [n for n in self.nodes.values() if n.stub and n.crosses and not n.singular]
-        for combo, depth in sorted({(n.combo, n.depth) for n in leaves}):
-            own = [n for n in leaves if (n.combo, n.depth) == (combo, depth)]
-            names = {f"{','.join(map(str, combo))}:{','.join(map(str, n.cells))}": n for n in own}
-            chosen = self.rows.sparkSession.createDataFrame([(s,) for s in sorted(names)], "node string")
-            rows = self.rows.withColumn("node", _name([combo], self.roots, depth)[0]).join(chosen, "node", "left_semi")
-            for i, dim in enumerate(combo):
-                half = F.concat(F.col("node"), F.lit("/"), (_cell(0, self.roots, depth + 1, dim) % 2).cast("string"))
-                crosses = {r["k0"]: not r["low"] for r in self._verdicts(rows, half).select("k0", "low").collect()}
-                for name, node in names.items():
-                    a, b = crosses.get(f"{name}/0", False), crosses.get(f"{name}/1", False)
-                    low, high = node.snapped[i]
-                    if a != b:
-                        node.halves[i] = (low, (low + high) / 2) if a else ((low + high) / 2, high)
-
-
-class Harvest:
-    """Buckets from the forest. The random matches touch anonymized counts only."""
-
-    def __init__(self, forest: Forest):
-        self.forest, self.done, self.random = forest, {}, random.Random(0)
-
-    def of(self, node: Node) -> list[Bucket]:
-        key = node.combo, node.depth, node.cells
-        if key not in self.done:
-            self.done[key] = self._of(node)
-        return self.done[key]
-
-    def _of(self, node: Node) -> list[Bucket]:
-        children = self.forest.children(node)
-        if not children:
-            if not node.crosses:
-                return []
-            if all(a == b for a, b in node.shown()) or len(node.combo) == 1:
-                return [Bucket(node.shown(), node.count)]
-            return self._refined(node, node.count)
-        below = [b for c in children for b in self.of(c)]
-        total = sum(b.count for b in below)
-        if 2 * total >= node.count:
-            return self._scaled(below, total, node.count)
-        if len(node.combo) == 1:
-            return [Bucket(node.shown(), node.count)]
-        return below + self._refined(node, node.count - total)
-
-    @staticmethod
-    def _scaled(buckets: list[Bucket], total: int, target: int) -> list[Bucket]:
-        """Counts in proportion; what rounding down leaves over goes on to the next buckets."""
-        out, left = [], 0.0
-        for b in buckets:
-            exact = b.count * target / total if total else 0.0
-            whole = math.floor(exact)
-            left += exact - whole
-            if left > 1.0:
-                whole, left = whole + 1, left - 1.0
-            out.append(replace(b, count=max(0, whole)))
-        return out
-
-    def _refined(self, node: Node, count: int) -> list[Bucket]:
-        """Matches ranges that lower-dimensional buckets show within the node."""
-        plain = [Bucket(node.shown(), count)]
-        k = len(node.combo)
-        parts: list[list[Bucket]] = []  # by the dimension that is left out
-        for out in range(k):
-            rest = [i for i in range(k) if i != out]
-            actual = tuple(node.actual[i] for i in rest)
-            if all(a == b for a, b in actual):
-                parts.append([Bucket(actual, node.count)])
+    def _judged(self, nodes: DataFrame) -> DataFrame:
+        """Adds stub (no node with a dimension less, in the same cell, is solid and no stub itself) and split."""
+        out, lower = None, None
+        for size in range(1, len(self.roots) + 1):
+            own = nodes.filter(F.col("size") == size)
+            if lower is None:
+                own = own.withColumn("stub", F.lit(False))
             else:
-                lower = self.forest.nodes.get((tuple(node.combo[i] for i in rest), node.depth, tuple(node.cells[i] for i in rest)))
-                parts.append(self.of(lower) if lower else [])
-        if not all(parts):
-            return plain
-        seen: list[list[Range]] = [[] for _ in range(k)]
-        for out, buckets in enumerate(parts):
-            rest = [i for i in range(k) if i != out]
-            for j, i in enumerate(rest):
-                seen[i].append((min(b.ranges[j][0] for b in buckets), max(b.ranges[j][1] for b in buckets)))
-        least = []
-        for i in range(k):
-            lo, hi = min(seen[i], key=lambda r: r[1] - r[0])
-            a, b = node.halves.get(i, node.snapped[i])
-            least.append((max(lo, a), min(hi, b)) if a < hi and b > lo else (min(lo, a), max(hi, b)))
-        inside = lambda r, i: r[0] >= least[i][0] and r[1] <= least[i][1]
-        single: list[tuple[list[Range], list[int]]] = [([], []) for _ in range(k)]
-        joint: list[tuple[list[tuple], list[int]]] = []
-        for out, buckets in enumerate(parts):
-            rest = [i for i in range(k) if i != out]
-            own: tuple[list, list] = ([], [])
-            for b in buckets:
-                if b.count <= 0:
-                    continue
-                for j, i in enumerate(rest):
-                    if inside(b.ranges[j], i):
-                        single[i][0].append(b.ranges[j])
-                        single[i][1].append(b.count)
-                if all(inside(b.ranges[j], i) for j, i in enumerate(rest)):
-                    own[0].append(b.ranges)
-                    own[1].append(b.count)
-            joint.append(own)
-        if not all(x for x, _ in single) or not all(x for x, _ in joint):
-            return plain
-        out = []
-        for at in range(count):
-            # Dimensions take turns in being matched with the bucket of all others.
-            i = k - 1 - at % k
-            one = self.random.choices(*[single[i][0]], weights=single[i][1])[0]
-            others = self.random.choices(joint[i][0], weights=joint[i][1])[0]
-            out.append(Bucket((*others[:i], one, *others[i:]), 1))
-        return out
+                found = own.select("node", _places(size).alias("out")).select("node", _projected(F.col("node"), F.col("out")).alias("lower")).join(lower, "lower")
+                own = own.join(found.groupBy("node").agg(F.bool_or("carries").alias("carried")), "node", "left").withColumn("stub", ~F.coalesce("carried", F.lit(False))).drop("carried")
+            lower = own.select(F.col("node").alias("lower"), (F.col("solid") & ~F.col("stub")).alias("carries"))
+            out = own if out is None else out.unionByName(own)
+        return out.withColumn("split", ~F.col("stub") & F.col("crosses") & (F.col("alo") != F.col("ahi")))
+
+    def _halved(self, level: DataFrame, depth: int) -> DataFrame:
+        """Adds hlo and hhi: the cell's ends, without the half of each dimension that has not enough entities. Only stubs are cut."""
+        if len(self.roots) == 1:
+            return level.withColumns({"hlo": F.col("slo"), "hhi": F.col("shi")})
+        stubs = level.filter("stub and crosses").filter(F.col("alo") != F.col("ahi")).select("node")
+        halves = F.array(*(F.pmod(_cell(self.roots, depth + 1, d), F.lit(2)).cast("string") for d in range(len(self.roots))))
+        rows = self.rows.withColumns({"node": F.explode(_name(self.combos, self.roots, depth)), "halves": halves}).join(stubs, "node", "left_semi")
+        rows = rows.select("node", F.posexplode(_dims(F.col("node"))).alias("place", "dim"), "halves", *(f"a{i}" for i in range(len(self.aids))))
+        key = F.concat_ws("/", "node", F.col("place").cast("string"), F.get("halves", F.col("dim")))
+        p = prepare(rows, {"half": key}, self.aids, {}, self.context)
+        good = self._verdicts(statistics(contributed(p, self.integers), p.keys, 1)).filter("not low")
+        part = lambda i: F.split_part("k0", F.lit("/"), F.lit(i))
+        cut = good.select(part(1).alias("node"), part(2).cast("int").alias("place"), part(3).alias("half")).groupBy("node", "place").agg(F.count(F.lit(1)).alias("halves"), F.min("half").alias("half")).filter("halves = 1")
+        cut = cut.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", "half"))).alias("cut"))
+        middle = lambda z: (z["slo"] + z["shi"]) / 2
+        zipped = F.arrays_zip("slo", "shi")
+        side = lambda keep, end: F.transform(zipped, lambda z, i: F.when(F.try_element_at("cut", i) == keep, middle(z)).otherwise(z[end]))
+        return level.join(cut, "node", "left").withColumns({"hlo": side("1", "slo"), "hhi": side("0", "shi")}).drop("cut")
+
+
+def _shown(end: str) -> Column:
+    """What a bucket tells: a value where there is one only, else the cell."""
+    ends = F.arrays_zip("alo", "ahi", "slo", "shi")
+    return F.transform(ends, lambda z: F.when(z["alo"] == z["ahi"], z[f"a{end}"]).otherwise(z[f"s{end}"]))
+
+
+def scaled(buckets: DataFrame) -> DataFrame:
+    """Counts of (node, lo, hi, count, total, n) in proportion, so that they add up to n; what rounding leaves goes on to the next ones."""
+    exact = F.col("count") * F.col("n") / F.col("total")
+    out = buckets.withColumns({"exact": exact, "group": F.pmod(F.xxhash64("lo", "hi"), F.lit(GROUPS))})
+    sums = out.groupBy("node", "group").agg(F.sum("exact").alias("part"))
+    before = F.coalesce(F.sum("part").over(Window.partitionBy("node").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    out = out.join(sums.select("node", "group", before.alias("before")), ["node", "group"])
+    until = F.col("before") + F.sum("exact").over(Window.partitionBy("node", "group").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0))
+    whole = lambda x: F.floor(x + 1e-6)
+    return out.withColumn("until", until).select("node", "lo", "hi", (whole(F.col("until")) - whole(F.col("until") - F.col("exact"))).cast("long").alias("count"))
+
+
+_DRAWN = pa.schema([("node", pa.string()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("count", pa.int64())])
+
+
+def match(node: pa.Table, below: pa.Table) -> pa.Table:
+    """Draws for one block of a node: a range of one dimension, and the others from a bucket that lacks it; dimensions take turns.
+
+    ``below``: buckets that lack the dimension at place ``out``. Only what lies within the ranges they show together is drawn; without such, the node's own bucket stands.
+    """
+    own = node.to_pylist()[0]
+    k, want = len(own["lo"]), own["want"]
+    plain = pa.Table.from_pylist([{"node": own["node"], "lo": own["lo"], "hi": own["hi"], "count": want}], _DRAWN)
+    out, weights = np.asarray(below.column("out")), np.asarray(below.column("count"), np.float64)
+    if set(out.tolist()) != set(range(k)):
+        return plain
+    # A range for every dimension of each bucket, none for the one it lacks.
+    low, high = np.full((len(out), k), np.nan), np.full((len(out), k), np.nan)
+    for i in range(k):
+        at = out == i
+        rest = [j for j in range(k) if j != i]
+        low[np.ix_(at, rest)] = np.array(below.filter(pa.array(at)).column("lo").to_pylist())
+        high[np.ix_(at, rest)] = np.array(below.filter(pa.array(at)).column("hi").to_pylist())
+    fits = np.ones((len(out), k), bool)
+    for j in range(k):
+        spans = [(low[out == i, j].min(), high[out == i, j].max()) for i in range(k) if i != j]
+        a, b = min(spans, key=lambda r: r[1] - r[0])
+        c, d = own["hlo"][j], own["hhi"][j]
+        a, b = (max(a, c), min(b, d)) if c < b and d > a else (min(a, c), max(b, d))
+        fits[:, j] = (out == j) | (low[:, j] >= a) & (high[:, j] <= b)
+    one = [(out != j) & fits[:, j] for j in range(k)]
+    others = [(out == j) & fits.all(1) for j in range(k)]
+    if not all(x.any() for x in (*one, *others)):
+        return plain
+    rng = np.random.default_rng(own["seed"] & (1 << 63) - 1)
+    draw = lambda mask, size: rng.choice(np.flatnonzero(mask), size, p=weights[mask] / weights[mask].sum())
+    turns = k - 1 - np.arange(want) % k
+    rows = []
+    for j in range(k):
+        size = int((turns == j).sum())
+        a, b = draw(one[j], size), draw(others[j], size)
+        lows, highs = low[b], high[b]
+        lows[:, j], highs[:, j] = low[a, j], high[a, j]
+        rows.append(np.concatenate([lows, highs], axis=1))
+    found, count = np.unique(np.concatenate(rows), axis=0, return_counts=True)
+    ends = [pa.array(list(found[:, x : x + k]), pa.list_(pa.float64())) for x in (0, k)]
+    return pa.Table.from_arrays([pa.array([own["node"]] * len(found)), *ends, pa.array(count, pa.int64())], schema=_DRAWN)
+
+
+def _matched(nodes: DataFrame, lower: DataFrame, size: int) -> DataFrame:
+    """(node, lo, hi, count) of ``want`` matches for each of ``nodes``; ``lower``: the buckets of the same depth that have a dimension less."""
+    block = F.col("__block")
+    blocks = nodes.filter("want > 0").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - 1) / BLOCK))))
+    own = blocks.select("node", block, F.least(F.lit(BLOCK), F.col("want") - block * BLOCK).alias("want"), _shown("lo").alias("lo"), _shown("hi").alias("hi"), "hlo", "hhi", F.xxhash64("node", block).alias("seed"))
+    each = blocks.select("node", block, "n", "alo", "ahi", _places(size).alias("out"))
+    single = _without(F.col("alo"), F.col("out")) == _without(F.col("ahi"), F.col("out"))
+    known = each.filter(single).select("node", block, "out", _without(F.col("alo"), F.col("out")).alias("lo"), _without(F.col("ahi"), F.col("out")).alias("hi"), F.col("n").alias("count"))
+    others = each.filter(~single).withColumn("lower", _projected(F.col("node"), F.col("out"))).join(lower.withColumnRenamed("node", "lower"), "lower").select("node", block, "out", "lo", "hi", "count")
+    below = known.unionByName(others).filter("count > 0").select(F.col("node").alias("of"), F.col("__block").alias("part"), "out", "lo", "hi", "count")
+
+    def run(node: pa.Table, below: pa.Table) -> pa.Table:
+        return match(node, below) if node.num_rows else _DRAWN.empty_table()
+
+    return own.groupBy("node", "__block").cogroup(below.groupBy("of", "part")).applyInArrow(run, "node string, lo array<double>, hi array<double>, count long")
+
+
+def harvest(forest: Forest) -> DataFrame:
+    """Buckets (lo, hi, count) of the combination of all dimensions."""
+    dims, below = len(forest.roots), None
+    for depth in range(len(forest.levels) - 1, -1, -1):
+        level, done = forest.levels[depth], []
+        for size in range(1, dims + 1):
+            nodes = level.filter(F.col("size") == size)
+            leaves = nodes.filter("not split and crosses")
+            own = lambda rows: rows.select("node", _shown("lo").alias("lo"), _shown("hi").alias("hi"), F.col("n").alias("count"))
+            plain = leaves if size == 1 else leaves.filter(F.col("alo") == F.col("ahi"))
+            filled = None if size == 1 else leaves.filter(F.col("alo") != F.col("ahi")).withColumn("want", F.col("n"))
+            parts = []
+            if below is not None:
+                given = below.filter(F.size("lo") == size).withColumn("node", _parent(F.col("node")))
+                totals = given.groupBy("node").agg(F.sum("count").alias("total"))
+                # A node whose children show too little of it is one bucket, or filled up.
+                split = nodes.filter("split").join(totals, "node", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+                enough = 2 * F.col("total") >= F.col("n")
+                parts.append(scaled(given.join(split.filter(enough & (F.col("total") > 0)).select("node", "n", "total"), "node")))
+                short = split.filter(~enough)
+                if size == 1:
+                    plain = plain.unionByName(short.drop("total"))
+                else:
+                    parts.append(given.join(short.select("node"), "node", "left_semi"))
+                    filled = filled.unionByName(short.withColumn("want", F.col("n") - F.col("total")).drop("total"))
+            parts.append(own(plain))
+            if size > 1:
+                parts.append(_matched(filled, done[-1], size))
+            every = reduce(DataFrame.unionByName, parts).groupBy("node", "lo", "hi").agg(F.sum("count").alias("count")).filter("count > 0")
+            done.append(materialize(every, "buckets"))
+        below = reduce(DataFrame.unionByName, done)
+    return below.filter(F.size("lo") == dims).select("lo", "hi", "count")
 
 
 def synthesize(df: DataFrame, columns: dict[str, tuple[Column, str]], aids: list[Aid], context: Context) -> DataFrame:
     """Rows under the names of ``columns`` that follow the distribution of ``df`` in anonymized buckets."""
     forest = Forest(df, columns, aids, context)
-    spark, n = df.sparkSession, len(columns)
-    root = forest.nodes.get((tuple(range(n)), 0, (0,) * n))
-    buckets = [b for b in Harvest(forest).of(root) if b.count > 0] if root else []
-    fields = ", ".join(["bucket long", "count long", *(f"lo{i} double, hi{i} double" for i in range(n))])
-    table = spark.createDataFrame([(j, int(b.count), *(float(x) for r in b.ranges for x in r)) for j, b in enumerate(buckets)], fields)
-    rows = table.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    rows = repeated(harvest(forest).withColumn("bucket", F.xxhash64("lo", "hi")), "count", "i")
     for d, (name, kind) in enumerate(zip(forest.names, forest.kinds, strict=True)):
+        rows = rows.withColumns({f"lo{d}": F.get("lo", F.lit(d)), f"hi{d}": F.get("hi", F.lit(d))})
         lo, hi = F.col(f"lo{d}"), F.col(f"hi{d}")
         share = F.pmod(F.xxhash64("bucket", "i", F.lit(d)), F.lit(1 << 30)).cast("double") / float(1 << 30)
         value = lo + share * (hi - lo)
