@@ -6,8 +6,8 @@ discarded and only survivors are verified bit by bit.
 
 A pivot table alone must look at all pairs. Pairs are therefore met in blocks: the 64 bits are cut into b blocks, two
 fingerprints with at most r differing bits agree in at least b - r of them, and each choice of b - r blocks is a key; b grows with the
-number of fingerprints. This loses no pair. A key shared by many fingerprints is cut into tiles and every two tiles
-meet in a group of their own. Within a group only a forest of the links goes on, which keeps components whole.
+number of fingerprints. This loses no pair. A key shared by many fingerprints is cut into tiles (``meeting``): rows of a tile meet first,
+then only those that are not connected yet. Within a group only a forest of the links goes on, which keeps components whole.
 
 Rows: one per document row. Null, empty and blank texts have fingerprint zero and are linked like any other; a null doc_id
 is never a component's smallest; texts of any length are read whole.
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import as_bytes, cut, materialize, mix64
+from hushframe.llm.meeting import meet
 from hushframe.operators.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 PIVOTS = 16
 #: A key with more fingerprints than this is dealt in tiles of this size.
 TILE = 2048
-_KEYED = "t int, key long, tiles long, fp long, d0 long, d1 long"
 
 
 def fingerprints(docs: list[bytes], width: int = SHINGLE) -> np.ndarray:
@@ -105,13 +105,14 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _pairs(group: np.ndarray, fp: np.ndarray, d: np.ndarray, radius: int):
-    """Links among rows of equal ``group`` (sorted), by the pivots and then bit by bit."""
+def _pairs(group: np.ndarray, fp: np.ndarray, d: np.ndarray, label: np.ndarray, radius: int):
+    """Links among rows of equal ``group`` (sorted) with different labels, by the pivots and then bit by bit."""
     u, v, held = [], [], 0
     for s in range(1, len(group)):
         i = np.flatnonzero(group[s:] == group[:-s])
         if not len(i):
             break
+        i = i[label[i + s] != label[i]]
         i = i[(np.abs(d[i + s] - d[i]).max(1) <= radius)]
         i = i[np.bitwise_count(fp[i + s] ^ fp[i]) <= radius]
         u.append(i + s)
@@ -135,7 +136,7 @@ def _link(radius: int):
             new = np.ones(t.num_rows, bool)
             new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
             d = np.stack([np.asarray(t.column("d0")), np.asarray(t.column("d1"))], axis=1).view(np.int8).reshape(-1, PIVOTS)
-            x, y = _pairs(np.cumsum(new), np.asarray(t.column("fp")).view(np.uint64), d, radius)
+            x, y = _pairs(np.cumsum(new), np.asarray(t.column("fp")).view(np.uint64), d, np.asarray(t.column("label")), radius)
             return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
@@ -159,17 +160,13 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     n = fps.count()
     masks = blocks(n, radius)
     keyed = pivot_table(fps).select("fp", "d0", "d1", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
-    large = keyed.groupBy("t", "key").count().filter(F.col("count") > TILE).select("t", "key", F.ceil(F.col("count") / TILE).alias("tiles"))
-    large = materialize(large, "large")
-    if large.isEmpty():
-        dealt = keyed.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
-    else:
-        tiled = keyed.join(large, ["t", "key"], "left").withColumns({"tiles": F.coalesce("tiles", F.lit(1)), "own": F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1)))})
-        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        dealt = tiled.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    dealt = dealt.select("t", "key", "i", "j", "fp", "d0", "d1")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(max(parts, n * len(masks) // 500_000), "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp").mapInArrow(_link(radius), "u long, v long")
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(masks) // 500_000)
+
+    def solve(dealt: DataFrame) -> DataFrame:
+        by = ("t", "key", "i", "j")
+        return dealt.select(*by, "fp", "d0", "d1", "label").repartition(parts, *by).sortWithinPartitions(*by, "fp").mapInArrow(_link(radius), "u long, v long")
+
+    return meet(keyed, ["t", "key"], "fp", F.lit(1.0 / TILE), solve)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
