@@ -179,3 +179,72 @@ def test_rare_distinct_values(spark, monkeypatch, params, n_aids, whole):
         safe = parts[0][0]
         want = safe if None in flat else away(combined(flat)[0]) + safe
         assert n == max(params.suppression.low_threshold, want)
+
+
+def dropped(p, amounts):
+    """What flattening takes from the largest entities."""
+    o, t, n = p.outlier_count, p.top_count, len(amounts)
+    surplus = max(0, o.upper + t.upper - n)
+    o_cut = min(max(surplus // 2, surplus - (t.upper - t.lower)), o.upper - o.lower)
+    o_up, t_up = o.upper - o_cut, t.upper - (surplus - o_cut)
+    ranked = sorted(((c, a) for a, c in amounts.items()), reverse=True)
+    seed = crypt_number(p.salt, reduce(xor, (a for _, a in ranked[: o_up + t_up]), 0))
+    oc, tc = uniform((o.lower, o_up), seed ^ fnv("outlier")), uniform((t.lower, t_up), seed ^ fnv("top"))
+    mean = sum(c for c, _ in ranked[oc : oc + tc]) / tc
+    return {a: c - mean for c, a in ranked[:oc] if c > mean}
+
+
+def noisy_buckets(p, rows, seed):
+    """Counts of (keys, entity) rows with all steps: merging into siblings, the star bucket, suppression, noise and the recovery of outliers."""
+    buckets = defaultdict(lambda: defaultdict(float))
+    for keys, who in rows:
+        buckets[keys][entity(who)] += 1
+    is_low = {k: low(p, [set(b)]) for k, b in buckets.items()}
+    moves, width = defaultdict(list), len(next(iter(buckets)))
+    for k in buckets:
+        siblings = [[x for x in buckets if x[:i] + x[i + 1 :] == k[:i] + k[i + 1 :]] for i in range(width)]
+        targets = [x for s in siblings if len(s) == 2 for x in s if not is_low[x]]
+        if is_low[k] and any(len(s) == 1 for s in siblings) and targets:
+            moves[k] = targets
+    merged = {k: dict(b) for k, b in buckets.items()}
+    for k, targets in moves.items():
+        for x in targets:
+            for a, c in buckets[k].items():
+                merged[x][a] = merged[x].get(a, 0.0) + c
+    is_low = {k: low(p, [set(b)]) for k, b in merged.items()}
+    loose = [k for k in merged if is_low[k] and k not in moves]
+    star = defaultdict(float)
+    for k in loose:
+        for a, c in merged[k].items():
+            star[a] += c
+    shown = {k: b for k, b in merged.items() if not is_low[k]}
+    if len(loose) >= 2 and not low(p, [set(star)]):
+        shown["star"] = dict(star)
+    counts, again = {}, defaultdict(float)
+    for k, b in shown.items():
+        labels = ["NULL", "*", "NULL"] if k == "star" else [str(k[0]), k[1], f"{k[2]:g}"]
+        flat = flattened(p, reduce(xor, (fnv(t) for t in dict.fromkeys(labels)), seed), b, 0.0)
+        counts[k] = p.suppression.low_threshold if flat is None else max(p.suppression.low_threshold, away(combined([flat])[0]))
+        for a, c in (b if flat is None else dropped(p, b)).items():
+            again[a] += c
+    out = flattened(p, seed, again, 0.0)
+    factor = 1 + (max(0, away(combined([out])[0])) if out else 0) / sum(counts.values())
+    return {(None, "*", None) if k == "star" else k: away(n * factor) for k, n in counts.items()}
+
+
+def test_a_noisy_query_with_all_steps(spark):
+    """The registered query `noisy_fine` on customers, many of whose buckets are suppressed, and on heavier entities."""
+    from hushframe import catalog
+    from hushframe.engine import Engine
+
+    sql = catalog.CATALOG["noisy_fine"][1]
+    params, steps = catalog.MODES["noisy"]
+    seed = fnv("customer.c_nationkey") ^ fnv("customer.c_mktsegment") ^ fnv("floor,customer.c_acctbal,1000")
+    customers = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal").collect()]
+    rng = random.Random(8)
+    heavy = [(rng.randint(1, 60) ** 2 % 61, rng.randint(0, 2), rng.choice("ABC"), float(rng.choice([500, 1500, 1700]))) for _ in range(900)] + [(7, 1, "A", 500.0)] * 40 + [(9, 2, "B", 500.0)] * 25 + [(70, 5, "Z", 1.0)]
+    for rows in (customers, heavy):
+        df = spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double")
+        want = noisy_buckets(params, [((n, s, math.floor(b / 1000) * 1000.0), who) for who, n, s, b in rows], seed)
+        got = {(r["nation"], r["seg"], r["step"]): r["n"] for r in Engine(spark, params, {"customer": df}, steps).sql(sql).collect()}
+        assert got == want
