@@ -6,7 +6,7 @@ the source, one offset drawn for the source is added, and a document is emitted
 interval crosses. Documents stand by falling size (two leading digits), then by a hash: the words taken miss the target by about a large document's
 size at most, whatever the number of documents.
 
-Null texts have size 0 and are sampled too; a null source is the last source; a source without words has target 0 and
+Whole rows stand in a struct, so no column of theirs clashes; very long texts count like any other. Null texts have size 0 and are sampled too; a null source is the last source; a source without words has target 0 and
 its documents are not taken; equal rows are documents of their own; an empty table gives no rows.
 """
 

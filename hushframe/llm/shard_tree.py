@@ -6,6 +6,7 @@ A key descends to the child with the least draw at each level. When the weight o
 only the draws of the nodes above it change, and they change only to lead keys into it; when it falls or a shard goes, only
 keys of that shard move. So the number of shards and the key decide alone, and one more shard takes rows only into itself.
 
+Columns of the input that bear a result's name give way to it; ties of slots are broken by id and checksum; very long texts are placed like any other.
 Null keys count as one key of their own (empty text); equal keys share a shard and get slots of their own; null texts
 have size 1 and the crc32 of no bytes; an empty table gives no rows.
 """

@@ -9,8 +9,9 @@ fingerprints with at most r differing bits agree in at least b - r of them, and
 number of fingerprints. This loses no pair. A key shared by many fingerprints is cut into tiles (``meeting``): rows of a tile meet first,
 then only those that are not connected yet. Within a group only a forest of the links goes on, which keeps components whole.
 
-Rows: one per document row. Null, empty and blank texts have fingerprint zero and are linked like any other; a null doc_id
-is never a component's smallest; texts of any length are read whole.
+Rows: one per document row, repeated rows too. Null, empty and blank texts have fingerprint zero and are linked like any other; a null doc_id
+is never a component's smallest (a component of null ids has none); a bit set in exactly half the shingles is 0; texts of any length are read whole; an
+empty table gives no rows; columns besides id, text and ``carry`` are not read, whatever their names.
 """
 
 from __future__ import annotations
