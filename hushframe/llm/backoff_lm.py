@@ -32,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from hushframe.llm.common import Interner, as_bytes, materialize, mix64
+from hushframe.llm.common import Interner, as_bytes, forget, materialize, mix64
 
 ORDER, MU, DISCOUNT = 3, (1000.0, 5.0), 0.75
 CHUNK_BYTES, LEAST_CHUNKS = 4 << 20, 24
+#: Texts that are read at once.
+BLOCK = 64
 SPARE = 22
 _M = np.uint64(0x9E3779B97F4A7C15)
 _END, _BEGIN = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" begin")
@@ -202,25 +204,26 @@ class Automaton:
 
     def read(self, begin: np.ndarray) -> list[float]:
         """Scores of the texts, each read once from left to right."""
-        order = self.order
-        weight = [None, *(self.weight[n].tolist() for n in range(1, order + 1))]
-        arc = [None, *(self.arc[n].tolist() for n in range(1, order + 1))]
-        fail = [None, *(self.fail[n].tolist() for n in range(1, order))]
-        state = [None, *(self.state[n].tolist() for n in range(1, order))]
-        out = []
-        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            total = 0.0
-            depth = 1 if order > 1 and state[1][a] else 0  # how many tokens the state remembers
-            for i in range(a + 1, b):
-                while depth and not arc[depth + 1][i]:
-                    total += fail[depth][i - 1]
-                    depth -= 1
-                total += weight[depth + 1][i]
-                # The arc leads to the longest state that the tokens so far end with.
-                depth = min(depth + 1, order - 1)
-                while depth and not state[depth][i]:
-                    depth -= 1
-            out.append(total)
+        order, out = self.order, []
+        for x in range(0, len(begin) - 1, BLOCK):
+            # As lists, some texts at a time.
+            edges = (begin[x : x + BLOCK + 1] - begin[x]).tolist()
+            here = slice(begin[x], begin[min(x + BLOCK, len(begin) - 1)])
+            weight, arc = ([None, *(held[n][here].tolist() for n in range(1, order + 1))] for held in (self.weight, self.arc))
+            fail, state = ([None, *(held[n][here].tolist() for n in range(1, order))] for held in (self.fail, self.state))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                total = 0.0
+                depth = 1 if order > 1 and state[1][a] else 0  # how many tokens the state remembers
+                for i in range(a + 1, b):
+                    while depth and not arc[depth + 1][i]:
+                        total += fail[depth][i - 1]
+                        depth -= 1
+                    total += weight[depth + 1][i]
+                    # The arc leads to the longest state that the tokens so far end with.
+                    depth = min(depth + 1, order - 1)
+                    while depth and not state[depth][i]:
+                        depth -= 1
+                out.append(total)
         return out
 
 
@@ -250,14 +253,16 @@ def _scored(order: int, mu: tuple[float, ...], bits: int, tokens: int, types: in
 
 def score(docs: DataFrame, training: Column, order: int = ORDER, mu: tuple[float, ...] = MU, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score) of each row; learned: whether the model has seen it. ``mu``: for histories of 1, 2, ... words."""
+    forget(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = max(LEAST_CHUNKS, -(-size // chunk_bytes))
-    buckets, bits = 1 << max(0, (chunks - 1).bit_length() - 1), key_bits(size)
+    buckets, bits = 1 << (chunks - 1).bit_length(), key_bits(size)
     dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("learn"), _squeezed()(text).alias("text"))
     asked = dealt.groupBy("chunk").applyInArrow(_asked(order, buckets, bits), "bucket long, chunk long, n int, keys binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(_told(buckets, bits), "chunk long, n int, bucket long, counts binary, tokens long, types long, texts long")
     told = materialize(told, "told")
+    forget(docs.sparkSession)
     sums = told.filter("chunk = -1").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = sums[0] or 0, sums[1] or 0
     id_type = docs.schema[id_col].dataType

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,10 @@ def release() -> None:
 
 def forget(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that no plan refers to any more: its cleaner follows the driver's garbage collector, which may not run for long."""
-    spark.sparkContext._jvm.System.gc()
+    for last in (False, True):
+        spark.sparkContext._jvm.System.gc()
+        if not last:
+            time.sleep(0.5)  # what is let go now holds plans that the next round finds
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
