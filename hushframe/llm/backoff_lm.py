@@ -11,8 +11,8 @@ in the state of its beginning and is read once from left to right, adding up the
 Scale: documents are dealt into chunks of about ``CHUNK_BYTES`` by a hash of id and text. A chunk asks for the counts of its distinct n-grams and brings
 its own training counts along, packed and dealt by hash; sums go back in the order asked. So each chunk builds exactly the part of
 the automaton that its texts can reach, whatever the size of the model, and a frequent n-gram is one entry a chunk. N-grams are known by
-hashes of ``SPARE`` bits more than the number of bytes in the corpus takes, so that about one n-gram in 20 million is mistaken for another at any size;
-sorted hashes take some 35 bits each (high parts in unary, low parts as they are).
+hashes of ``SPARE`` bits more than the number of bytes in the corpus takes, so that about one n-gram in a million is mistaken for another at any size;
+sorted hashes take some 32 bits each (high parts in unary, low parts as they are), and of the answers, which tell only what others add, most are zero.
 
 Rows: one per document row; equal rows are learned from as often as they occur and get equal scores. A null or empty text is the end token alone; a null id
 counts as the empty text in ``training``; texts of any length are read whole, in a chunk with others. Columns besides id and text are not read, whatever
@@ -38,7 +38,7 @@ ORDER, MU, DISCOUNT = 3, (1000.0, 5.0), 0.75
 CHUNK_BYTES, LEAST_CHUNKS = 4 << 20, 24
 #: Texts that are read at once.
 BLOCK = 64
-SPARE = 22
+SPARE = 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 _END, _BEGIN = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" begin")
 _ASKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -129,6 +129,11 @@ class Chunk:
             at[places] = inverse
             self.keys[n], self.at[n], self.placed[n] = keys, at, places
 
+    def counts(self, n: int, learn: np.ndarray) -> np.ndarray:
+        """Of each n-gram in the texts to learn from."""
+        places = self.placed[n]
+        return np.bincount(self.at[n][places[np.repeat(learn, np.diff(self.begin))[places]]], minlength=len(self.keys[n]))
+
 
 def _asked(order: int, buckets: int, bits: int):
     rest = bits - int(math.log2(buckets))
@@ -136,11 +141,10 @@ def _asked(order: int, buckets: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         chunk = Chunk(_texts(table), order, bits)
-        learned = np.repeat(np.asarray(table.column("learn")), np.diff(chunk.begin))
+        learn = np.asarray(table.column("learn"))
         rows: list[list] = [[] for _ in _ASKED]
         for n in range(1, order + 1):
-            places, keys = chunk.placed[n], chunk.keys[n]
-            counts = np.bincount(chunk.at[n][places[learned[places]]], minlength=len(keys))
+            keys, counts = chunk.keys[n], chunk.counts(n, learn)
             edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(rest)) if buckets > 1 else []
             edges = [0, *edges, len(keys)]
             for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
@@ -158,7 +162,7 @@ def _told(buckets: int, bits: int):
     begin = mix64(np.array([_BEGIN], np.uint64))[0] >> np.uint64(64 - bits)
 
     def run(table: pa.Table) -> pa.Table:
-        """Sums the counts of a bucket and answers each chunk; a row with chunk -1 holds what the whole corpus needs."""
+        """Sums the counts of a bucket and answers each chunk with what others add to its own; a row with chunk -1 holds what the whole corpus needs."""
         bucket, rows = table.column("bucket")[0].as_py(), []
         chunks, ns = table.column("chunk").to_pylist(), table.column("n").to_pylist()
         for n in sorted(set(ns)):
@@ -168,7 +172,7 @@ def _told(buckets: int, bits: int):
             counts = np.concatenate([unpack_counts(table.column("counts")[i].as_py()) for i in own])
             seen, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             sums = np.bincount(inverse, counts, len(seen)).astype(np.int64)
-            rows += [(chunks[i], n, bucket, pack_counts(sums[inverse[x:y]]), None, None, None) for i, x, y in zip(own, edges[:-1], edges[1:], strict=True)]
+            rows += [(chunks[i], n, bucket, pack_counts(sums[inverse[x:y]] - counts[x:y]), None, None, None) for i, x, y in zip(own, edges[:-1], edges[1:], strict=True)]
             if n == 1:
                 is_begin = seen == begin - np.uint64(bucket << rest) if begin >> np.uint64(rest) == bucket else np.zeros(len(seen), bool)
                 words = sums[~is_begin]
@@ -237,7 +241,10 @@ def _scored(order: int, mu: tuple[float, ...], bits: int, tokens: int, types: in
         for n, bucket, data in zip(told.column("n").to_pylist(), told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True):
             by[n, bucket] = unpack_counts(data)
         # A zero at the end, for the place -1 of what is no n-gram.
-        counts = {n: np.concatenate([*(by[k] for k in sorted(by) if k[0] == n), np.zeros(1, np.int64)]) for n in range(1, order + 1)}
+        learn = np.asarray(table.column("learn"))
+        none = np.zeros(1, np.int64)
+        others = {n: np.concatenate([none[:0], *(by[k] for k in sorted(by) if k[0] == n)]) for n in range(1, order + 1)}
+        counts = {n: np.concatenate([others[n] + chunk.counts(n, learn), none]) for n in others}
         score = Automaton(chunk, counts, tokens, types, mu).read(chunk.begin)
         c = counts[1][chunk.at[1]]
         base = np.log10((c + 1) / (tokens + types + 1))
@@ -262,9 +269,9 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, mu: tuple[float
     asked = dealt.groupBy("chunk").applyInArrow(_asked(order, buckets, bits), "bucket long, chunk long, n int, keys binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(_told(buckets, bits), "chunk long, n int, bucket long, counts binary, tokens long, types long, texts long")
     told = materialize(told, "told")
-    forget(docs.sparkSession)
     sums = told.filter("chunk = -1").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = sums[0] or 0, sums[1] or 0
+    forget(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     fields = [("doc_id", id_type.simpleString()), ("learned", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")]
     out = pa.schema([("doc_id", to_arrow_type(id_type)), ("learned", pa.bool_()), *((n, pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
