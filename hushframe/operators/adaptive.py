@@ -27,6 +27,8 @@ from hushframe.storage import materialize
 #: Timestamps are seconds from here (fixed value).
 EPOCH = "1800-01-01 00:00:00"
 DEEPEST = 60
+#: Of smaller ranges halves could not be told apart.
+LEAST_RANGE = 2.0**-1000
 Range = tuple[float, float]
 
 
@@ -46,7 +48,7 @@ def encode(column: Column, kind: str) -> Column:
 def snap(low: float, high: float) -> Range:
     """The least range of a power of two, aligned to half its size, that holds both ends."""
     while True:
-        size = 2.0 ** math.ceil(math.log2(high - low)) if high > low else 1.0
+        size = max(2.0 ** math.ceil(math.log2(high - low)), LEAST_RANGE) if high > low else 1.0
         start = math.floor(low / (size / 2)) * (size / 2)
         if start + size >= high:
             return start, start + size

@@ -5,7 +5,7 @@ Each step decides on a small table of buckets and relabels the contributions (an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.operators.anonymize import STAR, Prepared, join_keys, low_counts
@@ -31,16 +31,19 @@ def led(p: Prepared, aids: list[bool]) -> Prepared:
     if len(p.labels) < 3:
         return p
     keys = p.keys
-    buckets = low_counts(p.long, keys, p.context.params)
+    buckets = materialize(low_counts(p.long, keys, p.context.params), "buckets")
+    victims = buckets.filter("low").drop("low")
     for i, key in enumerate(keys):
-        others = Window.partitionBy(*(k for k in keys if k != key))
-        buckets = buckets.withColumns({f"n{i}": F.count(F.lit(1)).over(others), f"t{i}": F.max(F.when(~F.col("low"), F.struct(F.col(key).alias("to")))).over(others)})
+        # Only who has one sibling or none counts, so no join meets many buckets of one group.
+        others = [k for k in keys if k != key]
+        near = buckets.groupBy(*others).agg(F.count(F.lit(1)).alias(f"n{i}"), F.max(F.when(~F.col("low"), F.struct(F.col(key).alias("to")))).alias(f"t{i}")).filter(F.col(f"n{i}") <= 2)
+        victims = join_keys(victims, near, others, "left")
     targets = F.filter(
         F.array(*(F.when((F.col(f"n{i}") == 2) & F.col(f"t{i}").isNotNull(), F.struct(*((F.col(f"t{i}.to") if j == i else F.col(k)).alias(f"to_{k}") for j, k in enumerate(keys)))) for i in range(len(keys)))),
         lambda t: t.isNotNull(),
     )
-    unknown = F.greatest(*((F.col(f"n{i}") == 1).cast("int") for i in range(len(keys)))) == 1
-    victims = buckets.filter("low").filter(unknown).withColumn("targets", targets).filter(F.size("targets") > 0).select(*keys, "targets")
+    unknown = F.greatest(*(F.coalesce(F.col(f"n{i}") == 1, F.lit(False)) for i in range(len(keys))))
+    victims = victims.filter(unknown).withColumn("targets", targets).filter(F.size("targets") > 0).select(*keys, "targets")
     victims = materialize(victims, "victims")
     if victims.isEmpty():
         return p

@@ -18,6 +18,7 @@ from hushframe.params import Suppression, noiseless
 
 def test_snapping():
     assert ab.snap(1, 21) == (0, 32) and ab.snap(0, 2) == (0, 2)
+    assert ab.snap(0, 5e-324) == (0, ab.LEAST_RANGE) and ab.snap(-5e-324, 0) == (-ab.LEAST_RANGE / 2, ab.LEAST_RANGE / 2)
 
 
 @given(st.floats(-1e6, 1e6), st.floats(0, 1e6))
