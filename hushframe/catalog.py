@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from hushframe import catalog_cases, catalog_noise
 from hushframe.engine import Engine
+from hushframe.functions.hashing import fnv
 from hushframe.operators import hooks
-from hushframe.params import AccessLevel, Params, Suppression, noiseless
+from hushframe.params import AccessLevel, Params, noiseless
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 AIDS = {"customer": ("c_custkey",), "orders": ("o_custkey",), "events": ("user_id",), "lineitem": ("l_orderkey", "l_suppkey")}
@@ -25,7 +26,6 @@ MODES = {
     "led": (QUIET, (hooks.led,)),
     "noisy": (NOISY, hooks.DEFAULT),
     "unscaled": (replace(NOISY, recover_outliers=False), ()),
-    "three": (replace(QUIET, suppression=Suppression(3, 0.0, 0.0)), ()),
     "level_direct": (replace(QUIET, access_level=AccessLevel.DIRECT), ()),
     "synthetic": (replace(QUIET, use_adaptive_buckets=True), ()),
 }
@@ -169,7 +169,7 @@ SELECT w.nation, w.seg, w.step, CAST(greatest(w.n + coalesce(more, 0), 2) AS BIG
     "noisy_unscaled": ("unscaled", "SELECT c_mktsegment, count(*) AS n, count_noise(*) AS cn, sum(c_acctbal) AS s FROM customer GROUP BY 1", catalog_noise.grouped(NOISY, "customer", "c_mktsegment", "c_mktsegment", "customer.c_mktsegment", "c_custkey", "c_acctbal", False)),
     "noisy_heavy": ("noisy", "SELECT o_orderpriority, count(*) AS n, count_noise(*) AS cn, sum(o_totalprice) AS s FROM orders GROUP BY 1", catalog_noise.grouped(NOISY, "orders", "o_orderpriority", "o_orderpriority", "orders.o_orderpriority", "o_custkey", "o_totalprice", True)),
     "noisy_suppressed": ("unscaled", "SELECT substring(c_name, 1, 17) AS part, count(*) AS n, count_noise(*) AS cn, sum(c_acctbal) AS s FROM customer GROUP BY 1", catalog_noise.grouped(NOISY, "customer", "part", "substring(c_name, 1, 17)", "substring,customer.c_name,1,17", "c_custkey", "c_acctbal", False)),
-    "noisy_fine": ("noisy", _FINE, ""),
+    "noisy_fine": ("noisy", _FINE, catalog_noise.merged(NOISY, "customer", _FINE_KEYS, {"nation": "CAST(nation AS VARCHAR)", "seg": "seg", "step": "CAST(CAST(step AS BIGINT) AS VARCHAR)"}, {"nation": "NULL", "seg": "'*'", "step": "NULL"}, fnv("customer.c_nationkey") ^ fnv("customer.c_mktsegment") ^ fnv("floor,customer.c_acctbal,1000"), "c_custkey")),
     "anon_count_distinct": ("quiet", "SELECT o_orderpriority, count(DISTINCT o_totalprice) AS n FROM orders GROUP BY 1", """WITH v AS (SELECT o_orderpriority, o_totalprice, count(DISTINCT o_custkey) AS k, min(o_custkey) AS a FROM orders GROUP BY ALL),
 e AS (SELECT o_orderpriority, a, count(*) AS m FROM v WHERE k < 2 GROUP BY ALL),
 f AS (SELECT o_orderpriority, count(*) AS entities, sum(m) - ((list_reverse_sort(list(m)))[1] - (list_reverse_sort(list(m)))[2]) AS rare FROM e GROUP BY 1),

@@ -99,3 +99,41 @@ gone AS (SELECT leg, z.h AS h, sum(z.m - tm) AS m FROM (SELECT leg, tm, unnest(t
 o AS (SELECT coalesce(greatest(round(max(v) FILTER (WHERE leg = 'n')), 0), 0) AS n, coalesce(max(v) FILTER (WHERE leg = 'p'), 0) - coalesce(max(v) FILTER (WHERE leg = 'q'), 0) AS s FROM g),
 w AS (SELECT sum(n) AS n, sum(abs(s)) AS s FROM r)
 SELECT {name}, CAST(round(r.n * CASE WHEN w.n > 0 THEN 1 + o.n / w.n ELSE 1 END) AS BIGINT) AS n, round(cn, 4) AS cn, round(r.s * CASE WHEN w.s > 0 THEN 1 + o.s / w.s ELSE 1 END, 4) AS s FROM r, o, w"""
+
+
+def _low(p: Params, name: str, table: str, keys: list[str]) -> str:
+    """Table name: buckets, and whether they have too few entities."""
+    s = p.suppression
+    mean = s.low_threshold + s.low_mean_gap * s.layer_sd * 2**0.5
+    by = ", ".join(keys)
+    enough = f"c >= {s.low_threshold} AND c >= {mean!r}::DOUBLE + {s.layer_sd}::DOUBLE * ({_normal('d', 'suppress')})"
+    return f"""
+{name}1 AS (SELECT {by + ", " if keys else ""}count(*) AS c, bit_xor(h) AS x FROM {table}{" GROUP BY " + by if keys else ""}),
+{name}2 AS (SELECT *, {_digest(p.salt, "x")} AS d FROM {name}1),
+{name} AS (SELECT {by + ", " if keys else ""}NOT ({enough}) AS low FROM {name}2)"""
+
+
+def merged(p: Params, source: str, keys: dict[str, str], texts: dict[str, str], star: dict[str, str], seed: int, aid: str) -> str:
+    """(keys, n) of `SELECT keys, count(*)` over three keys with all steps: merging into siblings, the star bucket, noise, and outliers back in proportion.
+
+    ``texts``: the labels of keys; ``star``: the keys of the star bucket. No key is null, and the second one's labels are none of the others'.
+    """
+    k = list(keys)
+    by, low = ", ".join(k), p.suppression.low_threshold
+    others = [[x for x in k if x != y] for y in k]
+    sibling = " OR ".join(f"(v.n{i} = 2 AND {' AND '.join(f't.{x} = v.{x}' for x in rest)} AND t.{y} <> v.{y})" for i, (y, rest) in enumerate(zip(k, others, strict=True)))
+    a, b, c = (f"coalesce({texts[x]}, 'NULL')" for x in k)
+    labelled = f"xor(xor({seed}::HUGEINT, {of_text(a)}), xor({of_text(b)}, CASE WHEN {a} = {c} THEN 0::HUGEINT ELSE {of_text(c)} END))"
+    same = lambda x, y: " AND ".join(f"{x}.{z} IS NOT DISTINCT FROM {y}.{z}" for z in k)
+    return f"""WITH e AS (SELECT {by}, {of_long("a")} AS h, count(*)::DOUBLE AS m FROM (SELECT {", ".join(f"{v} AS {x}" for x, v in keys.items())}, {aid} AS a FROM {source}) GROUP BY {by}, a),{_low(p, "first", "e", k)},
+w AS (SELECT *, {", ".join(f"count(*) OVER (PARTITION BY {', '.join(rest)}) AS n{i}" for i, rest in enumerate(others))} FROM first),
+v AS (SELECT * FROM w WHERE low AND (n0 = 1 OR n1 = 1 OR n2 = 1)),
+moves AS (SELECT {", ".join(f"v.{x} AS of_{x}, t.{x}" for x in k)} FROM v JOIN w t ON NOT t.low AND ({sibling})),
+e2 AS (SELECT {by}, h, sum(m) AS m FROM (SELECT {by}, h, m FROM e UNION ALL SELECT {", ".join(f"t.{x}" for x in k)}, e.h, e.m FROM moves t JOIN e ON {" AND ".join(f"e.{x} = t.of_{x}" for x in k)}) GROUP BY {by}, h),{_low(p, "second", "e2", k)},
+loose AS (SELECT {by} FROM second ANTI JOIN moves ON {" AND ".join(f"second.{x} = moves.of_{x}" for x in k)} WHERE low),
+star AS (SELECT h, sum(m) AS m FROM e2 SEMI JOIN loose USING ({by}) GROUP BY h),{_low(p, "dim", "star", [])},
+long AS (SELECT {by}, h, 'n' AS leg, m FROM e2 SEMI JOIN (SELECT {by} FROM second WHERE NOT low) USING ({by}) UNION ALL SELECT {", ".join(star[x] for x in k)}, h, 'n', m FROM star WHERE (SELECT count(*) FROM loose) >= 2 AND NOT (SELECT low FROM dim)),{flattened("f", "long", k, labelled, p)},
+r AS (SELECT {", ".join(f"d.{x}" for x in k)}, CASE WHEN f.v IS NULL THEN {low} ELSE greatest(round(f.v), {low}) END AS n FROM (SELECT DISTINCT {by} FROM long) d LEFT JOIN f ON {same("d", "f")}),
+gone AS (SELECT leg, h, sum(m) AS m FROM (SELECT leg, z.h AS h, z.m - tm AS m FROM (SELECT leg, tm, unnest(top[1:oc]) AS z FROM f) WHERE z.m > tm UNION ALL SELECT leg, h, m FROM long ANTI JOIN f ON {same("long", "f")}) GROUP BY leg, h),{flattened("g", "gone", [], f"{seed}::HUGEINT", p)},
+o AS (SELECT coalesce(greatest(round(max(v)), 0), 0) AS n FROM g), s AS (SELECT sum(n) AS n FROM r)
+SELECT {by}, CAST(round(r.n * CASE WHEN s.n > 0 THEN 1 + o.n / s.n ELSE 1 END) AS BIGINT) AS n FROM (SELECT {by}, n FROM r) r, o, s"""
