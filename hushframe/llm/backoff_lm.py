@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from hushframe.llm.common import Interner, as_bytes, forget, materialize, mix64
+from hushframe.llm.common import Interner, as_bytes, forget, materialize, mix64, release
 
 ORDER, MU, DISCOUNT = 3, (1000.0, 5.0), 0.75
 CHUNK_BYTES, LEAST_CHUNKS = 4 << 20, 24
@@ -152,6 +152,7 @@ def _asked(order: int, buckets: int, bits: int):
                     own = keys[x:y] - np.uint64(b << rest)
                     for cell, value in zip(rows, (b, table.column("chunk")[0].as_py(), n, pack_keys(own, rest), pack_counts(counts[x:y])), strict=True):
                         cell.append(value)
+        release()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ASKED, strict=True)], schema=_ASKED)
 
     return run
@@ -253,6 +254,7 @@ def _scored(order: int, mu: tuple[float, ...], bits: int, tokens: int, types: in
         known[chunk.begin[:-1]] = False
         n_tokens = np.diff(chunk.begin) - 1
         cols = [table.column("doc_id").combine_chunks(), table.column("learn").combine_chunks(), pa.array(n_tokens), pa.array(np.add.reduceat(known.astype(np.int64), chunk.begin[:-1])), pa.array(np.full(len(score), tokens)), pa.array(np.add.reduceat(base, chunk.begin[:-1])), pa.array(score, pa.float64())]
+        release()
         return pa.Table.from_arrays(cols, schema=out)
 
     return run
