@@ -179,6 +179,8 @@ SELECT o_orderpriority, CAST(greatest(safe + CASE WHEN entities >= 2 THEN rare E
     "casts_to_text": ("direct", "SELECT c_custkey AS k, cast(c_acctbal * 100000.0 AS text) AS a, cast(c_acctbal / 1000000.0 AS text) AS b, cast(floor_by(c_acctbal, 0.5) AS text) AS c, cast(c_acctbal < 0 AS text) AS d FROM customer", f"SELECT c_custkey AS k, {_TEXT.format(x='(c_acctbal * 100000.0::DOUBLE)')} AS a, {_TEXT.format(x='(c_acctbal / 1000000.0::DOUBLE)')} AS b, {_TEXT.format(x='(floor(c_acctbal / 0.5::DOUBLE) * 0.5::DOUBLE)')} AS c, CAST(c_acctbal < 0 AS VARCHAR) AS d FROM customer"),
     "casts_of_numbers": ("direct", "SELECT c_custkey AS k, cast(substring(c_name, 10, 9) AS integer) AS i, cast(substring(c_name, 10, 5) || '.5' AS real) AS r FROM customer", "SELECT c_custkey AS k, CAST(substring(c_name, 10, 9) AS BIGINT) AS i, CAST(substring(c_name, 10, 5) || '.5' AS DOUBLE) AS r FROM customer"),
     "synthetic_column": ("synthetic", "SELECT c_mktsegment FROM customer", None),
+    "synthetic_pairs": ("synthetic", "SELECT c_mktsegment, c_nationkey / 13 AS part FROM customer", "SELECT c_mktsegment, CAST(c_nationkey // 13 AS BIGINT) AS part FROM customer"),
+    "synthetic_triples": ("synthetic", "SELECT c_mktsegment AS seg, c_nationkey / 13 AS part, c_acctbal < 4500.0 AS low FROM customer", "SELECT c_mktsegment AS seg, CAST(c_nationkey // 13 AS BIGINT) AS part, c_acctbal < 4500 AS low FROM customer"),
     "synthetic_rows": ("synthetic", "SELECT c_mktsegment, c_nationkey FROM customer", ""),
 }
 for _part in ("second", "minute", "hour", "day", "week", "month", "quarter", "year", "decade", "century", "millennium"):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe import __version__, cli, log, sinks
+from hushframe.catalog_noise import of_text
 from hushframe.engine import Engine
 from hushframe.operators import adaptive
 from hushframe.params import AccessLevel, AdaptiveBuckets, Interval, Params, Suppression, noiseless
@@ -299,9 +300,13 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(orders.select((-F.col("o_orderkey")).alias("k"), adaptive.encode(F.col("o_orderdate"), "timestamp").alias("x"), adaptive.encode(F.col("o_totalprice"), "real").alias("y")))
 
 
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", adaptive.encode(F.col("n_name"), "text").alias("x"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: refused(name) for name in REFUSED} | {
     "syntax": syntax, "seed_materials": seeds, "money_steps": money, "parameter_checks": parameters, "cli_csv": cli_csv, "cli_json": cli_json, "cli_batch": cli_batch, "cli_outcomes": cli_outcomes, "sqlite_scan": sqlite_scan, "written_results": written,
-    "described": described, "log_messages": messages, "tree_steps": steps, "explicit_prefix": prefixed, "snapped_ranges": snapped, "encoded_values": encoded,
+    "described": described, "log_messages": messages, "tree_steps": steps, "explicit_prefix": prefixed, "snapped_ranges": snapped, "encoded_values": encoded, "encoded_texts": encoded_texts,
 }
 ORACLES: dict[str, str] = {name: _values("query outcome", cases) for name, (_, cases) in REFUSED.items()} | {
     "syntax": _values("query outcome", [(q, "parsed" if ok else "refused") for q, ok in SYNTAX]),
@@ -319,5 +324,6 @@ ORACLES: dict[str, str] = {name: _values("query outcome", cases) for name, (_, c
     "tree_steps": _values("what found", [("names", "a a b c x x"), ("renamed", "A A B C X X"), ("calls", "+ = = sum"), ("children", 5)]),
     "explicit_prefix": "SELECT c_mktsegment AS s, count(*) AS n, 0.0::DOUBLE AS cn FROM customer GROUP BY 1",
     "snapped_ranges": _values("ends range", [(f"{a:g} {b:g}", r) for (a, b), r in SNAPPED]),
+    "encoded_texts": f"SELECT n_name, pow(2.0, CAST(w // {1 << 52}::HUGEINT AS DOUBLE) - 1023) * (1 + CAST(w % {1 << 52}::HUGEINT AS DOUBLE) / {float(1 << 52)!r}) AS x FROM (SELECT n_name, {of_text('n_name')} % {1 << 56}::HUGEINT + {0x40 << 56}::HUGEINT AS w FROM nation)",
     "encoded_values": "SELECT c_custkey AS k, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_acctbal < 0 AS INTEGER)::DOUBLE AS y FROM customer UNION ALL SELECT -o_orderkey, date_diff('second', TIMESTAMP '1800-01-01', o_orderdate)::DOUBLE, o_totalprice FROM orders",
 }
