@@ -275,6 +275,11 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, "what found", [("names", " ".join(names)), ("renamed", " ".join(sorted(n.column for n in tree.walk(renamed) if isinstance(n, parser.Name)))), ("calls", " ".join(calls)), ("children", str(len(tree.children(q))))])
 
 
+def or_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other precedence of OR and AND, and of % and *."""
+    return _engine(spark, sf_dir, AccessLevel.DIRECT, or_first=True).sql("SELECT c_custkey AS k, c_custkey * 7 % 4 AS m FROM customer WHERE c_nationkey < 5 AND c_acctbal < 0.0 OR c_mktsegment = 'BUILDING'")
+
+
 def prefixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggregates over explicit entities under another first word."""
     engine = _engine(spark, sf_dir, AccessLevel.DIRECT, explicit="private_")
@@ -306,7 +311,7 @@ def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: refused(name) for name in REFUSED} | {
     "syntax": syntax, "seed_materials": seeds, "money_steps": money, "parameter_checks": parameters, "cli_csv": cli_csv, "cli_json": cli_json, "cli_batch": cli_batch, "cli_outcomes": cli_outcomes, "sqlite_scan": sqlite_scan, "written_results": written,
-    "described": described, "log_messages": messages, "tree_steps": steps, "explicit_prefix": prefixed, "snapped_ranges": snapped, "encoded_values": encoded, "encoded_texts": encoded_texts,
+    "described": described, "log_messages": messages, "tree_steps": steps, "explicit_prefix": prefixed, "or_before_and": or_first, "snapped_ranges": snapped, "encoded_values": encoded, "encoded_texts": encoded_texts,
 }
 ORACLES: dict[str, str] = {name: _values("query outcome", cases) for name, (_, cases) in REFUSED.items()} | {
     "syntax": _values("query outcome", [(q, "parsed" if ok else "refused") for q, ok in SYNTAX]),
@@ -322,6 +327,7 @@ ORACLES: dict[str, str] = {name: _values("query outcome", cases) for name, (_, c
     "described": _values("what value", [("c_mktsegment", "text"), ("count", "integer"), ("a", "real"), ("round", "integer"), ("columns", "4"), ("Scan parquet", True), ("PushedFilters", True), ("ReadSchema: struct<n_name:string,n_regionkey:int>", True), ("Exchange", False)]),
     "log_messages": _values("level text", [("info", "[INF] begun"), ("debug", "[DBG] Query: SELECT n_name FROM nation"), ("warning", "[WRN] done")]),
     "tree_steps": _values("what found", [("names", "a a b c x x"), ("renamed", "A A B C X X"), ("calls", "+ = = sum"), ("children", 5)]),
+    "or_before_and": "SELECT c_custkey AS k, c_custkey * (7 % 4) AS m FROM customer WHERE c_nationkey < 5 AND (c_acctbal < 0 OR c_mktsegment = 'BUILDING')",
     "explicit_prefix": "SELECT c_mktsegment AS s, count(*) AS n, 0.0::DOUBLE AS cn FROM customer GROUP BY 1",
     "snapped_ranges": _values("ends range", [(f"{a:g} {b:g}", r) for (a, b), r in SNAPPED]),
     "encoded_texts": f"SELECT n_name, pow(2.0, CAST(w // {1 << 52}::HUGEINT AS DOUBLE) - 1023) * (1 + CAST(w % {1 << 52}::HUGEINT AS DOUBLE) / {float(1 << 52)!r}) AS x FROM (SELECT n_name, {of_text('n_name')} % {1 << 56}::HUGEINT + {0x40 << 56}::HUGEINT AS w FROM nation)",

@@ -55,10 +55,10 @@ class Scope:
 
 class Engine:
     """``tables``: DataFrames, functions that make them, or sources, by name; without any, no table is found. ``hooks``: steps between grouping and
-    finalizing. ``explicit``: what the names of aggregates over entities given in the query begin with (``anon_count(*, id)``)."""
+    finalizing. ``explicit``: what the names of aggregates over entities given in the query begin with (``anon_count(*, id)``). ``or_first``: OR binds tighter than AND."""
 
-    def __init__(self, spark: SparkSession, params: Params | None = None, tables: dict[str, Table] | None = None, hooks=(), explicit: str = scalar.EXPLICIT):
-        self.spark, self.params, self.hooks, self.explicit = spark, params or Params(), tuple(hooks), explicit
+    def __init__(self, spark: SparkSession, params: Params | None = None, tables: dict[str, Table] | None = None, hooks=(), explicit: str = scalar.EXPLICIT, or_first: bool = False):
+        self.spark, self.params, self.hooks, self.explicit, self.or_first = spark, params or Params(), tuple(hooks), explicit, or_first
         self.tables = dict(tables or {})
 
     def register(self, name: str, table: Table) -> None:
@@ -75,7 +75,7 @@ class Engine:
 
     def _planned(self, text: str) -> tuple[DataFrame, list[str], list[str]]:
         log.debug(f"Query: {text}")
-        query = ast.parse(text)
+        query = ast.parse(text, self.or_first)
         if self.explicit != scalar.EXPLICIT:
             query = rewrite(query, lambda n: replace(n, fn=scalar.EXPLICIT + n.fn.removeprefix(self.explicit)) if isinstance(n, ast.Call) and n.fn.startswith(self.explicit) else n)
         return self._query(query)
