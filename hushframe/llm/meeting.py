@@ -20,19 +20,22 @@ from hushframe.operators.components import components
 def meet(rows: DataFrame, by: list[str], node: str, weight: Column, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(u, v): what ``solve`` links. ``rows``: ``by``, ``node`` (a long) and what ``solve`` needs; ``weight``: what part of a tile a row takes.
 
+    Rows may come with a ``label``, one for all that is connected already; then ``solve`` has to link labels.
+
     ``solve`` gets the rows with ``i`` and ``j``, and links rows that agree in ``by``, i and j and differ in ``label``, at least so many that these are connected as all links connect them.
     """
     none = F.lit(0).cast("long")
+    rows = rows if "label" in rows.columns else rows.withColumn("label", F.col(node))
     sized = materialize(rows.groupBy(*by).agg(F.ceil(F.sum(weight)).cast("long").alias("tiles")).filter("tiles > 1"), "large-groups")
     if sized.isEmpty():
-        return solve(rows.withColumns({"i": none, "j": none, "label": F.col(node)}))
+        return solve(rows.withColumns({"i": none, "j": none}))
     dealt = rows.join(sized, by, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
     dealt = dealt.withColumn("turn", F.explode(F.when(F.col("tiles") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     own = F.col("turn") * F.col("tiles") + F.pmod(F.xxhash64("turn", node), F.col("tiles"))
-    first = materialize(solve(dealt.withColumns({"i": own, "j": own, "label": F.col(node)}).drop("tiles", "turn")), "links")
-    known = components(first).withColumnRenamed("node", "of")
+    first = materialize(solve(dealt.withColumns({"i": own, "j": own}).drop("tiles", "turn")), "links")
+    known = components(first).select(F.col("node").alias("of"), F.col("label").alias("now"))
     large = rows.join(sized.drop("tiles"), by, "left_semi")
-    large = large.join(known, large[node] == known["of"], "left").withColumn("label", F.coalesce("label", node)).drop("of")
+    large = large.join(known, large["label"] == known["of"], "left").withColumn("label", F.coalesce("now", "label")).drop("of", "now")
     parts = materialize(large.groupBy(*by, "label").agg(F.sum(weight).alias("part")), "parts")
     mixed = parts.groupBy(*by).agg(F.max(F.struct("part", "label")).alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("part").alias("all")).filter("kinds > 1")
     tiles = lambda x: F.greatest(F.ceil(x - 1e-9), F.lit(1)).cast("long")

@@ -1,9 +1,15 @@
-"""Near copies by the Jaccard similarity of their word shingles: at least ``NUMER / DENOM``, verified exactly.
+"""Near copies by the Jaccard similarity of their word shingles: at least ``NUMER / DENOM``, found by SimHash and pivots, verified exactly.
 
-Candidates: each set of shingles has ``BANDS`` keys of ``ROWS`` least hashes (MinHash). Sets of similarity s share no key with
-probability (1 - s^ROWS)^BANDS: 2.6e-5 at 0.8, 4e-7 at 0.85. Sets that share a key are linked if ``AGREE`` of ``SKETCH`` bytes of their least
-hashes agree, which a pair at 0.8 misses with a probability below 1e-5. Keys shared by many sets are dealt in tiles
-(``meeting``), and each group passes on a forest of its links.
+Candidates come by op2's method (``simhash``) with wider fingerprints: each bit of the hashes of a set's shingles, ``BITS`` to a shingle, is summed up
+(+1 or -1), and the sums' signs are the fingerprint. No choice of whole blocks of bits brings together all pairs that differ in a seventh of their bits, so the
+pivots do: a table of the distances of every set (the Hamming distances of its hashes, which the sums give) to ``SPREAD`` random pivots and their complements, twice for each
+of ``TABLES`` keys, and a key is the nearest of both. Sets that share a key are candidates if their fingerprints are at most ``RADIUS`` bits apart: pairs with a larger
+difference in a coordinate of op2's pivot table are discarded, the others compared bit by bit. At this radius most of the discarding is left to the bits.
+
+Pairs of similarity 0.8 share no key with a probability of 2.5e-5 (equal sizes, the worst case; drawn), and differ in more than ``RADIUS`` bits with 8e-6 (sets of
+4 and 5 shingles; 2e-8 of others). Both fall fast above 0.8. Chance meets a set with n / 65,536 others for each key. Keys shared by many sets are dealt in tiles
+(``meeting``), and each group passes on a forest of its links. Keys are taken in rounds, whose shuffle files are let go: the first has few keys, and what it connects needs no
+links in the next ones.
 
 Verification: the components of these links are blocks. The sets of a block meet in tiles in the same way, first those of a tile and then those that
 are not connected yet; pairs are counted exactly by an inverted list of shingles. A forest of the pairs that are similar enough goes on, and its components
@@ -16,28 +22,34 @@ are read whole; an empty table gives no rows; columns besides row, text and ``ca
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import as_bytes, cut, materialize, mix64
+from hushframe.llm.common import as_bytes, cut, forget, materialize, mix64
 from hushframe.llm.meeting import meet
+from hushframe.llm.simhash import _forest, linked
 from hushframe.operators.components import components
-from hushframe.llm.simhash import _forest
 
 WIDTH, NUMER, DENOM, SEED = 5, 4, 5, 42
-ROWS, BANDS = 4, 20
-#: Bytes of the sketch, and how many of two sketches must agree.
-SKETCH, AGREE = 32, 15
+#: 64-bit words of a fingerprint, its bits, and how many of them may differ.
+WORDS, RADIUS = 4, 76
+BITS = 64 * WORDS
+#: Keys of each round, all keys, and the pivots for each half of a key.
+ROUNDS = (8, 32, 32)
+TABLES, SPREAD = sum(ROUNDS), 128
+#: Shingles whose bits are summed at once.
+PIECE = 1 << 15
 #: A key with more sets than this is dealt in tiles of this size.
 TILE = 1024
 #: Sets and shingles of a tile in verification.
 TILE_SETS, TILE_SHINGLES = 256, 500_000
-_MULTIPLY = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
-_ADD = mix64(np.arange(1001, ROWS * BANDS + 1001, dtype=np.uint64))
-_SIGNED = pa.struct([("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64())), ("s", pa.list_(pa.int64()))])
+_ADD = mix64(np.arange(1001, 1001 + WORDS, dtype=np.uint64))
+_SIGNED = pa.struct([("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int32())), ("fp", pa.list_(pa.int64()))])
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -48,38 +60,65 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.array(sorted({digest(g, SEED) for g in grams}), np.uint64)
 
 
+def sums(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each set (``n`` of the hashes ``h``) and each bit of a fingerprint, how many shingles have it less how many have not."""
+    out, owner = np.zeros((len(n), BITS), np.int64), np.repeat(np.arange(len(n)), n)
+    for s in range(0, len(h), PIECE):
+        words = np.stack([mix64(h[s : s + PIECE] ^ a) for a in _ADD], axis=1)
+        own = owner[s : s + PIECE]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        # Bits as bytes, eight to a word, are summed in runs too short to overflow.
+        runs = np.unique(np.concatenate([np.arange(0, len(own), 255), first]))
+        parts = np.add.reduceat(np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").view(np.uint64), runs, axis=0).view(np.uint8)
+        out[own[first]] += np.add.reduceat(parts, np.searchsorted(runs, first), axis=0, dtype=np.int64)
+    return 2 * out - n[:, None]
+
+
+@cache
+def spread() -> np.ndarray:
+    """The pivots of the keys as columns of -1 and +1."""
+    words = mix64(np.arange(1, TABLES * 2 * SPREAD * WORDS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)).reshape(-1, WORDS)
+    return np.ascontiguousarray((2 * np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int8) - 1).astype(np.float32).T)
+
+
+def nearest(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The keys of each set. The hashes of its n shingles are (BITS n - x) / 2 bits from a pivot whose product with ``total`` is x, and (BITS n + x) / 2 from its complement."""
+    most = 65_000  # products of larger sums would not be exact
+    scaled = np.where(n[:, None] > most, np.rint(total * (most / np.maximum(n, 1))[:, None]), total).astype(np.float32)
+    keys = np.zeros((len(n), TABLES), np.int32)
+    for s in range(0, len(n), 128):
+        x = (scaled[s : s + 128] @ spread()).reshape(-1, TABLES * 2, SPREAD)
+        at = np.abs(x).argmax(2)
+        cell = 2 * at + (np.take_along_axis(x, at[:, :, None], 2)[:, :, 0] < 0)
+        keys[s : s + 128] = cell[:, 0::2] * 2 * SPREAD + cell[:, 1::2]
+    return keys
+
+
 def signatures(docs: list[bytes]):
-    """Of each document: number of shingles, two hashes of their set, the keys of the bands and the sketch (both as longs)."""
+    """Of each document: number of shingles, two hashes of their set, the keys and the fingerprint (words)."""
     sets = [shingles(d) for d in docs]
     n = np.array([len(s) for s in sets], np.int64)
     a, b = np.zeros(len(docs), np.uint64), np.zeros(len(docs), np.uint64)
-    least = np.zeros((ROWS * BANDS, len(docs)), np.uint64)
+    h = np.concatenate([np.zeros(0, np.uint64), *sets])
     if n.any():
-        h, some = np.concatenate(sets), n > 0
+        some = n > 0
         starts = (np.cumsum(n) - n)[some]
         a[some], b[some] = np.add.reduceat(mix64(h), starts), np.add.reduceat(mix64(h ^ _ADD[0]), starts)
-        for i in range(ROWS * BANDS):
-            x = (h ^ _ADD[i]) * _MULTIPLY[i]
-            x ^= x >> np.uint64(32)
-            least[i, some] = np.minimum.reduceat(x * _MULTIPLY[-1 - i], starts)
-    keys = np.zeros((len(docs), BANDS), np.uint64)
-    for r in range(ROWS):
-        keys = mix64(keys + least[r::ROWS].T)
-    sketch = np.ascontiguousarray((mix64(least[:SKETCH].ravel()).reshape(SKETCH, -1) & np.uint64(255)).astype(np.uint8).T)
-    return n, a, b, keys, sketch.view(np.uint64)
+    total = sums(h, n)
+    return n, a, b, nearest(total, n), np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64)
 
 
 def signature_udf():
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for part in cut(texts, texts, 1 << 18):
-            n, a, b, keys, sketch = signatures(as_bytes(part))
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (keys, sketch)]
+            n, a, b, keys, fp = signatures(as_bytes(part))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (keys, fp.view(np.int64))]
             out.append(pa.StructArray.from_arrays([pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *lists], fields=list(_SIGNED)))
         return pa.concat_arrays(out) if out else pa.array([], _SIGNED)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<n:long,a:long,b:long,keys:array<long>,s:array<long>>")
+    return F.arrow_udf(run, "struct<n:long,a:long,b:long,keys:array<int>,fp:array<long>>")
 
 
 def _linked(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
@@ -88,61 +127,20 @@ def _linked(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _meet(agree: int):
-    """Links of the sets in each group of equal (t, key, i, j), as rows come sorted by these."""
-    names = ("t", "key", "i", "j")
-
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        cols = [np.asarray(rows.column(k)) for k in names]
-        new = np.ones(rows.num_rows, bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-        group, node = np.cumsum(new), np.asarray(rows.column("node"))
-        label = np.asarray(rows.column("label"))
-        sketch = np.stack([np.asarray(rows.column(f"s{k}")) for k in range(SKETCH // 8)], axis=1).view(np.uint8)
-        u, v, held = [], [], 0
-        for s in range(1, len(group)):
-            at = np.flatnonzero(group[s:] == group[:-s])
-            if not len(at):
-                break
-            at = at[label[at + s] != label[at]]
-            at = at[(sketch[at + s] == sketch[at]).sum(1) >= agree]
-            u.append(node[at + s])
-            v.append(node[at])
-            held += len(at)
-            if held > 1 << 18:
-                u, v = ([z] for z in _forest(np.concatenate(u), np.concatenate(v)))
-                held = 0
-        return _linked(u, v)
-
-    def run(batches):
-        kept = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch]).combine_chunks()
-            last = np.ones(rows.num_rows, bool)
-            for k in names:
-                c = np.asarray(rows.column(k))
-                last &= c == c[-1] if len(c) else last
-            cutoff = int(np.flatnonzero(~last)[-1]) + 1 if (~last).any() else 0
-            if cutoff:
-                yield solve(rows.slice(0, cutoff).combine_chunks())
-            kept = rows.slice(cutoff)
-        if kept is not None and kept.num_rows:
-            yield solve(kept.combine_chunks())
-
-    return run
-
-
 def candidates(sets: DataFrame) -> DataFrame:
-    """(u, v): links of ``sets`` (node, keys, s) that share a key and agree in their sketches."""
-    names = [f"s{k}" for k in range(SKETCH // 8)]
-    keyed = sets.select("node", *(F.col("s")[k].alias(n) for k, n in enumerate(names)), F.posexplode("keys").alias("t", "key"))
-    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), sets.count() * BANDS // 500_000)
-
-    def solve(dealt: DataFrame) -> DataFrame:
-        by = ("t", "key", "i", "j")
-        return dealt.select(*by, "node", *names, "label").repartition(parts, *by).sortWithinPartitions(*by, "node").mapInArrow(_meet(AGREE), "u long, v long")
-
-    return meet(keyed, ["t", "key"], "node", F.lit(1.0 / TILE), solve)
+    """(node, label): the component of each of ``sets`` (node, keys, fp) by links of those that share a key and differ in few bits."""
+    words = [f"fp{k}" for k in range(WORDS)]
+    least, n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), sets.count()
+    prints = sets.select("node", "keys", *(F.col("fp")[k].alias(w) for k, w in enumerate(words)))
+    labels, first = sets.select("node", F.col("node").alias("label")), 0
+    for size in ROUNDS:
+        keyed = prints.join(labels, "node").select("node", "label", *words, F.posexplode(F.slice("keys", first + 1, size)).alias("t", "key"))
+        merged = components(linked(keyed, max(least, n * size // 500_000), RADIUS, TILE, "node", tuple(words)))
+        merged = merged.select(F.col("node").alias("label"), F.col("label").alias("now"))
+        labels = materialize(labels.join(merged, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
+        first += size
+        forget(sets.sparkSession)
+    return labels
 
 
 def similar(node: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> pa.RecordBatch:
@@ -185,9 +183,9 @@ def near_copies(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     signed = materialize(docs.select("row", *carry, signature_udf()(F.col("text")).alias("r")).select("row", *carry, "r.*"), "signatures")
     same = ["n", "a", "b"]
     classes = materialize(signed.groupBy(*same).agg(F.min("row").alias("node")), "classes")
-    sets = materialize(signed.select(F.col("row").alias("node"), "n", "keys", "s").join(classes.select("node").filter("n > 0"), "node", "left_semi"), "sets")
-    links = components(candidates(sets))
-    blocks = materialize(links.withColumnRenamed("label", "block").unionByName(links.select(F.col("label").alias("node"), F.col("label").alias("block")).distinct()), "blocks")
+    sets = materialize(signed.select(F.col("row").alias("node"), "n", "keys", "fp").join(classes.select("node").filter("n > 0"), "node", "left_semi"), "sets")
+    found = candidates(sets).withColumnRenamed("label", "block")
+    blocks = materialize(found.join(found.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("block"), "block"), "blocks")
     texts = docs.select(F.col("row").alias("node"), "text").join(blocks.join(sets.select("node", "n"), "node"), "node")
     weight = F.greatest(F.lit(1.0 / TILE_SETS), F.col("n") / TILE_SHINGLES)
     verified = meet(texts, ["block"], "node", weight, lambda dealt: dealt.select("block", "i", "j", "node", "text", "label").groupBy("block", "i", "j").applyInArrow(_verify, "u long, v long"))

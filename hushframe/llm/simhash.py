@@ -63,8 +63,14 @@ def fingerprint_udf():
     return F.arrow_udf(run, "long")
 
 
-def pivots() -> np.ndarray:
-    return mix64(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+def pivots(words: int = 1) -> np.ndarray:
+    """A row of ``words`` 64-bit words for each pivot."""
+    return mix64(np.arange(1, PIVOTS * words + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).reshape(PIVOTS, words)
+
+
+def distances(fp: np.ndarray) -> np.ndarray:
+    """The pivot table of fingerprints of any number of words (a row each)."""
+    return np.stack([np.bitwise_count(fp ^ p).sum(1) for p in pivots(fp.shape[1])], axis=1).astype(np.int16)
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(group: np.ndarray, fp: np.ndarray, d: np.ndarray, label: np.ndarray, radius: int):
-    """Links among rows of equal ``group`` (sorted) with different labels, by the pivots and then bit by bit."""
+    """Links (numbers of rows) among rows of equal ``group`` (sorted) with different labels, by the pivots and then bit by bit."""
     u, v, held = [], [], 0
     for s in range(1, len(group)):
         i = np.flatnonzero(group[s:] == group[:-s])
@@ -115,7 +121,7 @@ def _pairs(group: np.ndarray, fp: np.ndarray, d: np.ndarray, label: np.ndarray,
             break
         i = i[label[i + s] != label[i]]
         i = i[(np.abs(d[i + s] - d[i]).max(1) <= radius)]
-        i = i[np.bitwise_count(fp[i + s] ^ fp[i]) <= radius]
+        i = i[np.bitwise_count(fp[i + s] ^ fp[i]).sum(1) <= radius]
         u.append(i + s)
         v.append(i)
         held += len(i)
@@ -123,12 +129,11 @@ def _pairs(group: np.ndarray, fp: np.ndarray, d: np.ndarray, label: np.ndarray,
             x, y = _forest(np.concatenate(u), np.concatenate(v))
             u, v, held = [x], [y], 0
     if not u or not held + len(u[0]):
-        return fp[:0], fp[:0]
-    x, y = _forest(np.concatenate(u), np.concatenate(v))
-    return fp[x], fp[y]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return _forest(np.concatenate(u), np.concatenate(v))
 
 
-def _link(radius: int):
+def _link(radius: int, words: tuple[str, ...]):
     def run(batches):
         kept = None
 
@@ -136,9 +141,11 @@ def _link(radius: int):
             cols = [np.asarray(t.column(k)) for k in ("t", "key", "i", "j")]
             new = np.ones(t.num_rows, bool)
             new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-            d = np.stack([np.asarray(t.column("d0")), np.asarray(t.column("d1"))], axis=1).view(np.int8).reshape(-1, PIVOTS)
-            x, y = _pairs(np.cumsum(new), np.asarray(t.column("fp")).view(np.uint64), d, np.asarray(t.column("label")), radius)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["u", "v"])
+            fp = np.stack([np.asarray(t.column(w)) for w in words], axis=1).view(np.uint64)
+            d = np.stack([np.asarray(t.column("d0")), np.asarray(t.column("d1"))], axis=1).view(np.int8).reshape(-1, PIVOTS) if "d0" in t.column_names else distances(fp)
+            label = np.asarray(t.column("label"))
+            x, y = _pairs(np.cumsum(new), fp, d, label, radius)
+            return pa.RecordBatch.from_arrays([pa.array(label[x], pa.int64()), pa.array(label[y], pa.int64())], names=["u", "v"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch]).combine_chunks()
@@ -156,18 +163,27 @@ def _link(radius: int):
     return run
 
 
+def linked(keyed: DataFrame, parts: int, radius: int, tile: int, node: str = "fp", words: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(u, v): links of the labels (nodes, unless ``keyed`` has a label) of rows that share a key and are at most ``radius`` bits apart, as forests of the groups they meet in.
+
+    ``keyed``: (t, key, node, words of the fingerprint), and the pivot table in d0 and d1; without these it is made where rows meet.
+    """
+    by = ("t", "key", "i", "j")
+    names = dict.fromkeys((node, *words, *(c for c in ("d0", "d1") if c in keyed.columns)))
+
+    def solve(dealt: DataFrame) -> DataFrame:
+        return dealt.select(*by, *names, "label").repartition(parts, *by).sortWithinPartitions(*by, node).mapInArrow(_link(radius, words), "u long, v long")
+
+    return meet(keyed, ["t", "key"], node, F.lit(1.0 / tile), solve)
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): fingerprints at most ``radius`` bits apart, as forests of the groups they meet in. ``fps``: distinct, in a column fp."""
     n = fps.count()
     masks = blocks(n, radius)
     keyed = pivot_table(fps).select("fp", "d0", "d1", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(masks) // 500_000)
-
-    def solve(dealt: DataFrame) -> DataFrame:
-        by = ("t", "key", "i", "j")
-        return dealt.select(*by, "fp", "d0", "d1", "label").repartition(parts, *by).sortWithinPartitions(*by, "fp").mapInArrow(_link(radius), "u long, v long")
-
-    return meet(keyed, ["t", "key"], "fp", F.lit(1.0 / TILE), solve)
+    return linked(keyed, parts, radius, TILE)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
