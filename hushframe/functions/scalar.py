@@ -64,7 +64,10 @@ def _away(x: Column) -> Column:
 
 
 def _stepped(x: Column, n: Column, kind: str, step) -> Column:
-    out = step(x.cast("double") / n.cast("double")) * n.cast("double")
+    ratio = x.cast("double") / n.cast("double")
+    # Steps give integers, which have no sign at zero and end at 2^63; reals from 2^52 on are whole.
+    whole = F.when(F.abs(ratio) < 2.0**52, step(ratio).cast("double")).otherwise(ratio)
+    out = F.when(whole == 0, ratio * 0.0).otherwise(whole) * n.cast("double")
     return F.when(n > 0, F.floor(out).cast("long") if kind == "integer" else out)
 
 

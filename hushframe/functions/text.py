@@ -38,7 +38,7 @@ def real_column(x: Column) -> Column:
         # Some Java runtimes write more digits than needed; the fewest that give the real back are looked for where there are many.
         digits = F.length(F.regexp_replace(F.regexp_replace(t, "E.*$", ""), r"[^\d]", ""))
         fewer = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
-        return F.when(digits <= 15, t).otherwise(F.coalesce(*(F.when(s.cast("double") == x, s) for s in fewer), t))
+        return F.when(t.isNull() | (digits <= 15), t).otherwise(F.coalesce(*(F.when(s.cast("double") == x, s) for s in fewer), t))
 
     def plain(t: Column) -> Column:
         part = lambda i: F.regexp_extract(t, r"^(-?)(\d)\.(\d*)[eE]\+?(-?\d+)$", i)

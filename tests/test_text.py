@@ -1,9 +1,12 @@
+import math
 import struct
 
+import duckdb
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hushframe import catalog
 from hushframe.engine import Engine
 from hushframe.functions.text import real_column, real_text
 from hushframe.params import Params
@@ -45,3 +48,19 @@ def test_noise_of_a_filter_is_that_of_the_group(spark):
     grouped = {r[0]: r[1] for r in e.sql("SELECT x, count(*) FROM t GROUP BY 1").collect()}
     for text, x in (("10000000.0", 1e7), ("0.0001", 0.0001), ("2.5", 2.5), ("1e15", 1e15), ("0.000001", 1e-6)):
         assert e.sql(f"SELECT count(*) FROM t WHERE x = {text}").first()[0] == grouped[x]
+
+
+def test_nulls_and_signed_zeros_are_cast_as_in_sql(spark, tmp_path):
+    values = "(1, NULL), (2, '-0.0'), (3, '0.0'), (4, '-0.3'), (5, '0.3'), (6, '4516.95')"
+    db = duckdb.connect()
+    db.execute(f"COPY (SELECT CAST(k AS BIGINT) AS c_custkey, CAST(x AS DOUBLE) AS c_acctbal FROM (VALUES {values}) t(k, x)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    got = catalog.QUERIES["casts_to_text"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(catalog.ORACLES["casts_to_text"]).fetchall())
+
+
+def test_multiples_keep_sign_and_size(spark):
+    e = Engine(spark, tables={"t": spark.createDataFrame([(-0.0, 1e300, float("nan"), -0.2)], "z double, big double, nan double, s double")})
+    row = e.sql("SELECT floor_by(z, 0.5) AS a, ceil_by(s, 0.5) AS b, round_by(s, 0.5) AS c, floor_by(big, 0.5) AS d, round_by(nan, 0.5) AS e FROM t").first()
+    assert [math.copysign(1.0, row[i]) for i in range(3)] == [-1.0] * 3 and row[:3] == (0.0, 0.0, 0.0)
+    assert row["d"] == 1e300 and math.isnan(row["e"])
