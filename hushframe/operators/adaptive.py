@@ -2,7 +2,9 @@
 
 Every selected column becomes a real dimension with a root range of a power of two. For each combination of dimensions a tree halves all
 its dimensions at each level, so a node is a cell of a grid: (combination, depth, cell numbers). Nodes are counted level by level with
-group-bys over all rows (all combinations at once), never by inserting rows one after the other, so the forest does not depend on their order.
+group-bys (all combinations at once), never by inserting rows one after the other, so the forest does not depend on their order. Rows are read once:
+entities with one point only (a combination of values) are counted for each point, and a level puts these counts together; it adds up again just what
+belongs to entities with several points.
 
 Buckets are made from the deepest level up, again by group-bys and joins of whole levels: a leaf gives its own bucket, and a node the buckets of its
 children, scaled to its count or filled up with matches of buckets that have a dimension less. Nodes, buckets and rows are tables in the shared folder;
@@ -12,16 +14,17 @@ the driver sees the ends of the columns and whether a level is empty. A node's m
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import hashing as H
-from hushframe.operators.anonymize import ROWS, Agg, Aid, Context, combine, contributed, flatten, prepare, statistics, threshold, _seeded
+from hushframe.operators.anonymize import ROWS, Agg, Aid, Context, Prepared, combine, flatten, hashed, join_keys, prepare, statistics, threshold, _entities, _seeded
 from hushframe.storage import materialize
 
 #: Timestamps are seconds from here (fixed value).
@@ -98,12 +101,18 @@ def _places(size: int) -> Column:
     return F.explode(F.array(*map(F.lit, range(size))))
 
 
+def tasks(spark: SparkSession) -> int:
+    """Parts for rows whose number the size of their files does not tell."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def repeated(df: DataFrame, count: str, into: str) -> DataFrame:
     """Each row as often as it says, numbered from 1; a block at a time is in memory."""
     blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / BLOCK))
     out = df.filter(F.col(count) > 0).withColumn("__block", F.explode(blocks))
     first = F.col("__block") * BLOCK + 1
-    return out.withColumn(into, F.explode(F.sequence(first, F.least(F.col(count), first + (BLOCK - 1))))).drop("__block")
+    # A few large counts would stand in one task.
+    return out.repartition(tasks(df.sparkSession)).withColumn(into, F.explode(F.sequence(first, F.least(F.col(count), first + (BLOCK - 1))))).drop("__block")
 
 
 class Forest:
@@ -114,28 +123,60 @@ class Forest:
         self.names, self.kinds = list(columns), [k for _, k in columns.values()]
         self.aids = [Aid(F.col(f"a{i}"), a.integer) for i, a in enumerate(aids)]
         self.integers = [a.integer for a in aids]
-        values = [encode(c, k).alias(f"f{i}") for i, (c, k) in enumerate(columns.values())]
-        self.texts = {i: df.select(c.alias("text"), encode(c, k).alias("value")).distinct() for i, (c, k) in enumerate(columns.values()) if k == "text"}
-        rows = df.select(*values, *((a.column.cast("long") if a.integer else a.column.cast("string")).alias(f"a{i}") for i, a in enumerate(aids)))
         n = len(columns)
+        texts = [i for i, k in enumerate(self.kinds) if k == "text"]
+        spread = df.select(*(c.alias(f"v{i}") for i, (c, _) in enumerate(columns.values())), *((a.column.cast("long") if a.integer else a.column.cast("string")).alias(f"a{i}") for i, a in enumerate(aids))).repartition(tasks(df.sparkSession))
+        # Texts are long to encode, so that is done once.
+        rows = materialize(spread.select(*(encode(F.col(f"v{i}"), k).alias(f"f{i}") for i, k in enumerate(self.kinds)), *(F.col(f"v{i}") for i in texts), *(f"a{i}" for i in range(len(aids)))), "points")
+        self.texts = {i: rows.select(F.col(f"v{i}").alias("text"), F.col(f"f{i}").alias("value")).distinct() for i in texts}
         ends = rows.agg(*(f(f"f{i}").alias(f"{f.__name__}{i}") for i in range(n) for f in (F.min, F.max))).first()
         pairs = [(ends[f"min{i}"] or 0.0, ends[f"max{i}"] or 0.0) for i in range(n)]
         self.nulls = [2 * hi if hi > 0 else 2 * lo if lo < 0 else 1.0 for lo, hi in pairs]
         self.roots = [snap(min(lo, z), max(hi, z)) for (lo, hi), z in zip(pairs, self.nulls, strict=True)]
-        self.rows = materialize(rows.select(*(F.coalesce(F.col(f"f{i}"), F.lit(z)).alias(f"f{i}") for i, z in enumerate(self.nulls)), *(f"a{i}" for i in range(len(aids)))), "points")
+        self._count_points(rows.select(*(F.coalesce(F.col(f"f{i}"), F.lit(z)).alias(f"f{i}") for i, z in enumerate(self.nulls)), *(f"a{i}" for i in range(len(aids)))))
         for i in range(n):
             self._push_down(i)
         self.combos = [c for size in range(1, n + 1) for c in combinations(range(n), size)]
         self.levels: list[DataFrame] = []
         self._grow()
 
+    def _count_points(self, rows: DataFrame) -> None:
+        """``points``: all of them; ``single``: statistics of each point's entities that have no other one; ``mixed``: entities (or None) at each of their several points."""
+        at = [f"f{i}" for i in range(len(self.roots))]
+        self.points = materialize(rows.select(*at).distinct(), "distinct")
+        p = prepare(rows, {f: F.col(f) for f in at}, self.aids, {}, self.context)
+        entities = p.rows.select(*(F.col(k).alias(f) for k, f in zip(p.keys, at, strict=True)), _entities(p))
+        entities = entities.groupBy(*at, "aid", "t").agg(F.count(F.lit(1)).cast("double").alias("amount")).withColumn("entity", F.col("t"))
+        # What belongs to no entity is one row for each point.
+        own = Window.partitionBy("aid", "entity", F.when(F.col("entity").isNull(), F.xxhash64(*at)))
+        counted = materialize(hashed(entities, self.integers).withColumn("several", F.col("entity").isNotNull() & (F.count(F.lit(1)).over(own) > 1)), "entities")
+        most = self.params.outlier_count.upper + self.params.top_count.upper
+        self.single = materialize(statistics(counted.filter("not several").withColumn("leg", F.lit(ROWS + 1)), at, most), "single")
+        mixed = counted.filter("several")
+        self.mixed = None if mixed.isEmpty() else mixed
+
+    def _statistics(self, placed: Callable[[DataFrame], DataFrame], most: int = 0) -> DataFrame:
+        """``statistics`` of the key ``k0``, which ``placed`` gives to points; the largest entities for the leg after ROWS."""
+        parts = placed(self.single).select("k0", "aid", "n", "total", "unaccounted", "xor.hi", "xor.lo", "top")
+        if self.mixed is not None:
+            again = placed(self.mixed).groupBy("k0", "aid", "entity", "h").agg(F.sum("amount").alias("amount"))
+            parts = parts.unionByName(again.select("k0", "aid", F.lit(1).cast("long").alias("n"), F.col("amount").alias("total"), F.lit(0.0).alias("unaccounted"), "h.hi", "h.lo", F.array(F.struct(F.lit(1).alias("rank"), "amount", "h")).alias("top")))
+        xor = F.struct(F.bit_xor("hi").alias("hi"), F.bit_xor("lo").alias("lo")).alias("xor")
+        stats = parts.groupBy("k0", "aid").agg(*(F.sum(c).alias(c) for c in ("n", "total", "unaccounted")), xor)
+        if not most:
+            return stats.withColumn("leg", F.lit(ROWS))
+        order = Window.partitionBy("k0", "aid").orderBy(F.col("amount").desc(), F.col("h.hi").desc(), F.col("h.lo").desc())
+        top = parts.select("k0", "aid", F.explode("top").alias("z")).select("k0", "aid", "z.amount", "z.h").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+        top = top.groupBy("k0", "aid").agg(F.array_sort(F.collect_list(F.struct("rank", "amount", "h"))).alias("top"))
+        stats = join_keys(stats, top, ["k0", "aid"], "left").withColumn("leg", F.explode(F.array(F.lit(ROWS), F.lit(ROWS + 1))))
+        return stats.withColumn("top", F.when(F.col("leg") != ROWS, F.col("top")))
+
     def _push_down(self, dim: int) -> None:
         """Halves a root as long as exactly one of its halves has enough entities."""
         for _ in range(DEEPEST):
             low, high = self.roots[dim]
             half = F.when(F.col(f"f{dim}") < (low + high) / 2, 0).otherwise(1)
-            p = prepare(self.rows, {"half": half}, self.aids, {}, self.context)
-            crosses = {r["k0"]: not r["low"] for r in self._verdicts(statistics(contributed(p, self.integers), p.keys, 1)).select("k0", "low").collect()}
+            crosses = {r["k0"]: not r["low"] for r in self._verdicts(self._statistics(lambda t, half=half: t.withColumn("k0", half))).select("k0", "low").collect()}
             if crosses.get(0, False) == crosses.get(1, False):
                 return
             self.roots[dim] = (low, (low + high) / 2) if crosses.get(0, False) else ((low + high) / 2, high)
@@ -145,14 +186,13 @@ class Forest:
         few = lambda n: F.bool_or(threshold(self.params, F.col("n"), F.col("xor"), n))
         return stats.filter(F.col("leg") == ROWS).groupBy("k0").agg(few(None).alias("low"), few(ab.singularity_low_threshold).alias("low_single"), few(ab.range_low_threshold).alias("low_range"))
 
-    def _counted(self, rows: DataFrame, depth: int) -> DataFrame:
-        """Nodes of the rows' column ``node``: noisy count, whether they cross the low threshold and are solid enough to be no stub, the ends of their values, and their cells' ends."""
-        p = prepare(rows, {"node": F.col("node")}, self.aids, {"n": Agg("count")}, self.context)
-        most = self.params.outlier_count.upper + self.params.top_count.upper
-        stats = statistics(contributed(p, self.integers), p.keys, most)
+    def _counted(self, placed: Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+        """Nodes that ``placed`` gives to points as ``k0``: noisy count, whether they cross the low threshold and are solid enough to be no stub, the ends of their values, and their cells' ends."""
+        p = Prepared(self.points, ["node"], len(self.aids), {"n": Agg("count")}, self.context, ["k0"])
+        stats = self._statistics(placed, self.params.outlier_count.upper + self.params.top_count.upper)
         counts = combine(flatten(_seeded(stats, p), self.params), p, False).select("k0", "n")
         dims = range(len(self.roots))
-        ends = rows.groupBy(F.col("node").alias("k0")).agg(*(F.array(*(f(f"f{i}") for i in dims)).alias(n) for f, n in ((F.min, "lows"), (F.max, "highs"))))
+        ends = placed(self.points).groupBy("k0").agg(*(F.array(*(f(f"f{i}") for i in dims)).alias(n) for f, n in ((F.min, "lows"), (F.max, "highs"))))
         out = counts.join(self._verdicts(stats), "k0").join(ends, "k0").withColumnRenamed("k0", "node")
         out = out.withColumns({"dims": _dims(F.col("node")), "cells": _cells(F.col("node"))})
         of = lambda values: F.transform("dims", lambda d: F.get(F.col(values), d))
@@ -165,12 +205,12 @@ class Forest:
         """Level by level: rows of nodes that are split go on to the next depth."""
         for depth in range(DEEPEST):
             if not self.levels:
-                rows = self.rows.withColumn("node", F.explode(_name(self.combos, self.roots, 0)))
+                placed = lambda t: t.withColumn("k0", F.explode(_name(self.combos, self.roots, 0)))
             else:
                 parents = F.arrays_zip(_name(self.combos, self.roots, depth - 1).alias("parent"), _name(self.combos, self.roots, depth).alias("node"))
                 split = self.levels[-1].filter("split").select(F.col("node").alias("parent"))
-                rows = self.rows.withColumn("z", F.explode(parents)).select(*self.rows.columns, "z.parent", "z.node").join(split, "parent", "left_semi")
-            nodes = self._counted(rows, depth)
+                placed = lambda t, parents=parents, split=split: t.withColumn("z", F.explode(parents)).select(*t.columns, "z.parent", F.col("z.node").alias("k0")).join(split, "parent", "left_semi")
+            nodes = self._counted(placed, depth)
             # With several dimensions a level is read more than once.
             level = self._judged(nodes if len(self.roots) == 1 else materialize(nodes, "nodes"))
             self.levels.append(materialize(self._halved(level, depth), "level"))
@@ -197,11 +237,13 @@ class Forest:
             return level.withColumns({"hlo": F.col("slo"), "hhi": F.col("shi")})
         stubs = level.filter("stub and crosses").filter(F.col("alo") != F.col("ahi")).select("node")
         halves = F.array(*(F.pmod(_cell(self.roots, depth + 1, d), F.lit(2)).cast("string") for d in range(len(self.roots))))
-        rows = self.rows.withColumns({"node": F.explode(_name(self.combos, self.roots, depth)), "halves": halves}).join(stubs, "node", "left_semi")
-        rows = rows.select("node", F.posexplode(_dims(F.col("node"))).alias("place", "dim"), "halves", *(f"a{i}" for i in range(len(self.aids))))
         key = F.concat_ws("/", "node", F.col("place").cast("string"), F.get("halves", F.col("dim")))
-        p = prepare(rows, {"half": key}, self.aids, {}, self.context)
-        good = self._verdicts(statistics(contributed(p, self.integers), p.keys, 1)).filter("not low")
+
+        def placed(table: DataFrame) -> DataFrame:
+            rows = table.withColumns({"node": F.explode(_name(self.combos, self.roots, depth)), "halves": halves}).join(stubs, "node", "left_semi")
+            return rows.select(*table.columns, "node", "halves", F.posexplode(_dims(F.col("node"))).alias("place", "dim")).withColumn("k0", key)
+
+        good = self._verdicts(self._statistics(placed)).filter("not low")
         part = lambda i: F.split_part("k0", F.lit("/"), F.lit(i))
         cut = good.select(part(1).alias("node"), part(2).cast("int").alias("place"), part(3).alias("half")).groupBy("node", "place").agg(F.count(F.lit(1)).alias("halves"), F.min("half").alias("half")).filter("halves = 1")
         cut = cut.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", "half"))).alias("cut"))
@@ -330,20 +372,25 @@ def harvest(forest: Forest) -> DataFrame:
 def synthesize(df: DataFrame, columns: dict[str, tuple[Column, str]], aids: list[Aid], context: Context) -> DataFrame:
     """Rows under the names of ``columns`` that follow the distribution of ``df`` in anonymized buckets."""
     forest = Forest(df, columns, aids, context)
-    rows = repeated(harvest(forest).withColumn("bucket", F.xxhash64("lo", "hi")), "count", "i")
+    buckets = harvest(forest).withColumn("bucket", F.xxhash64("lo", "hi"))
+    for d, kind in enumerate(forest.kinds):
+        buckets = buckets.withColumns({f"lo{d}": F.get("lo", F.lit(d)), f"hi{d}": F.get("hi", F.lit(d))})
+        if kind == "text":
+            # Equal reals for different texts are rare; one of them stands for both.
+            known = forest.texts[d].groupBy(F.col("value").alias(f"lo{d}")).agg(F.min("text").alias(f"text{d}"))
+            buckets = buckets.join(known, f"lo{d}", "left")
+    rows = repeated(buckets.drop("lo", "hi"), "count", "i")
+    made = []
     for d, (name, kind) in enumerate(zip(forest.names, forest.kinds, strict=True)):
-        rows = rows.withColumns({f"lo{d}": F.get("lo", F.lit(d)), f"hi{d}": F.get("hi", F.lit(d))})
         lo, hi = F.col(f"lo{d}"), F.col(f"hi{d}")
         share = F.pmod(F.xxhash64("bucket", "i", F.lit(d)), F.lit(1 << 30)).cast("double") / float(1 << 30)
         value = lo + share * (hi - lo)
         null = lo == forest.nulls[d]
         if kind == "text":
-            # Equal reals for different texts are rare; one of them stands for both.
-            known = forest.texts[d].groupBy(F.col("value").alias(f"lo{d}")).agg(F.min("text").alias("__text"))
-            rows = rows.join(known, f"lo{d}", "left").withColumn(name, F.when(null, None).when(lo == hi, F.col("__text")).otherwise("*")).drop("__text")
+            made.append(F.when(null, None).when(lo == hi, F.col(f"text{d}")).otherwise("*").alias(name))
             continue
         typed = {"boolean": value >= 0.5, "integer": value.cast("long"), "real": value}.get(kind)
         if typed is None:
             typed = F.timestamp_add("MICROSECOND", F.round(value * 1e6).cast("long"), F.lit(EPOCH).cast("timestamp_ntz"))
-        rows = rows.withColumn(name, F.when(~null, typed))
-    return rows.select(*forest.names)
+        made.append(F.when(~null, typed).alias(name))
+    return rows.select(*made)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.hashing import fnv
 from hushframe.operators import adaptive as ab
-from hushframe.operators.anonymize import Aid, Context
+from hushframe.operators.anonymize import Agg, Aid, Context, contributed, prepare, statistics
 from hushframe.params import Suppression, noiseless
 
 
@@ -140,3 +140,24 @@ def test_many_equal_rows_come_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([("a", 30), ("b", 0), ("c", 7), ("d", 1)], "k string, n long")
     got = ab.repeated(df, "n", "i").groupBy("k").agg(F.count("i").alias("n"), F.countDistinct("i").alias("m"), F.max("i").alias("x")).collect()
     assert {(r["k"], r["n"], r["m"], r["x"]) for r in got} == {("a", 30, 30, 30), ("c", 7, 7, 7), ("d", 1, 1, 1)}
+
+
+def test_large_counts_are_spread(spark):
+    df = spark.createDataFrame([("a", 20 * ab.BLOCK)], "k string, n long").coalesce(1)
+    parts = ab.repeated(df, "n", "i").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 20 * ab.BLOCK and len(parts) > 1
+
+
+def test_levels_read_points_and_not_rows(spark):
+    """Two kinds of entities, some missing, some with several points: the statistics of cells are those of all rows, though few rows are kept."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, i, i % 40]), rng.choice([None, f"e{i % 300}", "e"]), i % 3, rng.randint(0, 4)) for i in range(1500)] + [(10000 + i, f"s{i}", 7, 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "a long, b string, x long, y long")
+    aids, context = [Aid(F.col("a"), True), Aid(F.col("b"), False)], Context(noiseless({}, suppression=Suppression(3, 0.0, 0.0)))
+    forest = ab.Forest(df, {c: (F.col(c), "integer") for c in "xy"}, aids, context)
+    assert forest.points.count() == 16 and forest.single.count() <= 32
+    p = prepare(df, {"k": F.col("x")}, aids, {"n": Agg("count")}, context)
+    want = statistics(contributed(p, [True, False]), p.keys, 2).collect()
+    got = forest._statistics(lambda t: t.withColumn("k0", F.col("f0").cast("long")), 2).collect()
+    shown = lambda r: (r["k0"], r["aid"], r["leg"], r["n"], r["xor"], *((r["total"], r["unaccounted"], r["top"]) if r["leg"] == 0 else ()))
+    assert len(want) == 16 and sorted(map(shown, got), key=str) == sorted(map(shown, want), key=str)
