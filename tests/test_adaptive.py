@@ -161,3 +161,10 @@ def test_levels_read_points_and_not_rows(spark):
     got = forest._statistics(lambda t: t.withColumn("k0", F.col("f0").cast("long")), 2).collect()
     shown = lambda r: (r["k0"], r["aid"], r["leg"], r["n"], r["xor"], *((r["total"], r["unaccounted"], r["top"]) if r["leg"] == 0 else ()))
     assert len(want) == 16 and sorted(map(shown, got), key=str) == sorted(map(shown, want), key=str)
+
+
+def test_levels_of_three_dimensions_keep_eight_points(spark):
+    df = spark.range(4000).selectExpr("id", "id % 2 = 0 AS a", "id % 4 < 2 AS b", "id % 8 < 4 AS c")
+    forest = ab.Forest(df, {c: (F.col(c), "boolean") for c in "abc"}, [Aid(F.col("id"), True)], Context(noiseless({})))
+    assert forest.mixed is None and forest.points.count() == forest.single.count() == 8
+    assert sorted((tuple(r["lo"]), r["count"]) for r in ab.harvest(forest).collect()) == [((float(i >> 2), float(i >> 1 & 1), float(i & 1)), 500) for i in range(8)]
